@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from .common import col, cut, id_key, small, words
 
 #: Rows of a source in one key range, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
