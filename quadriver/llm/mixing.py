@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, cut, id_key, small, words
+from .common import SPACES, col, cut, id_key, small, words
 
 #: Rows of a source in one key range, on average.
 RANGE_ROWS = 1_000
@@ -47,12 +47,12 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     return by.select("source", "source_size", "source_rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, size: Column | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row for each row of docs; size: words unless given."""
-    size = F.size(words(col(text_col))).cast("long") if size is None else size
+def placed(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """of (source), doc_id, key, size, source_size, target, whole (epochs) and part (words of the broken epoch)."""
+    size = F.size(words(col(text_col))).cast("long")
     sized = cut(docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), size.alias("size")).withColumn("key", id_key(F.col("doc_id"), seed)))
     targets = cut(source_targets(sized, weights, max_epochs))
-    targets = targets.select(F.col("source").alias("of"), "source_size", "source_rows", "target", F.ceil(F.col("source_rows") / RANGE_ROWS).cast("long").alias("ranges"))
+    targets = targets.select(F.col("source").alias("of"), "source_size", "target", F.ceil(F.col("source_rows") / RANGE_ROWS).cast("long").alias("ranges"))
     rows = sized.join(small(targets), F.col("source").eqNullSafe(F.col("of")))
     rows = rows.withColumn("range", F.expr("shiftright(key, 30) * ranges div 1073741824"))
     places = ["of", "range"]
@@ -66,5 +66,39 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     whole = F.least(F.lit(max_epochs), F.coalesce(F.expr("try_divide(budget, source_size)").cast("long"), F.lit(0)))
     rows = rows.withColumn("place", place).withColumn("budget", budget).withColumn("whole", whole)
     rest = F.col("budget") - F.col("whole") * F.col("source_size") - F.col("place")
-    taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
+    return rows.select("of", "doc_id", "key", "size", "source_size", "target", "whole", part.alias("part"))
+
+
+def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
+    """doc_id, size, source_size, target, taken: one row for each row of docs."""
+    rows = placed(docs, seed, id_col, text_col, source_col, weights, max_epochs)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to its n-th word, white space between them as it is."""
+    parts = F.split(F.regexp_replace(text, "^" + SPACES, ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    return F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), n.cast("int")), ""), SPACES + "$", "")
+
+
+def mixed_rows(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
+    """The rows of the mix: each row of docs as often as it is taken, the last one of a source cut at the exact word.
+
+    Per source the last row taken in the broken epoch tells what of the others is taken, so texts are not moved.  Rows
+    that agree in key, id and size share the fate of the last of them.
+    """
+    rows = cut(placed(docs, seed, id_col, text_col, source_col, weights, max_epochs))
+    last = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "size", "part")
+    cuts = cut(rows.groupBy("of").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("part") > 0, last)).alias("last")))
+    size, key = F.size(words(col(text_col))).cast("long"), id_key(col(id_col), seed)
+    own = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(source_col).alias("source"), F.struct(key.alias("key"), F.coalesce(col(id_col), F.lit(-(2**63))).alias("id"), size.alias("size")).alias("me"))
+    joined = own.join(small(cuts), F.col("source").eqNullSafe(F.col("of")))
+    end = F.struct("last.key", "last.id", "last.size")
+    part = F.when(F.col("last").isNull() | (F.col("me") > end), 0).when(F.col("me") == end, F.col("last.part")).otherwise(F.col("me.size"))
+    text = F.col("row").getField(text_col)
+    full = (F.col("whole") + F.when(part == F.col("me.size"), 1).otherwise(0)).cast("int")
+    cut_off = F.when((part > 0) & (part < F.col("me.size")), F.array(first_words(text, part))).otherwise(F.array().cast("array<string>"))
+    texts = F.when(F.col("me.size") > 0, F.concat(F.array_repeat(text, full), cut_off)).otherwise(F.array().cast("array<string>"))
+    out = joined.select("row", F.explode(texts).alias("taken_text"))
+    return out.select(*[F.col("taken_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import col, cut
 
@@ -282,3 +283,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: in
     labelled = one.join(classes, ["n", "a", "b"]).select(F.col("doc_id").alias("id"), "comp")
     out = rows.join(labelled, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The rows of docs without those of other ids' classes and without repeats of a row's id and text."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(id_col).alias("id")).join(gone, F.col("id") == F.col("gone_id"), "left_anti")
+    # rows without an id are told apart, whatever they hold
+    same = Window.partitionBy("id", F.xxhash64(F.col("row").getField(text_col)), "apart").orderBy(F.lit(0))
+    rows = rows.withColumn("apart", F.when(F.col("id").isNull(), F.monotonically_increasing_id())).withColumn("n", F.row_number().over(same))
+    return rows.where("n = 1").select("row.*")

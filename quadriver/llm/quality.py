@@ -24,6 +24,11 @@ SPREAD = {"symbols": 10, "repeats": 100, "lines": 100, "length": 80}
 WITH_WORD = r"[^\x20\x09-\x0D]"
 
 
+def held(x: Column) -> Column:
+    """The same value, computed in its own projection: later expressions, lambdas above all, must not repeat its work."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def bin_of(v: Column) -> Column:
     """Bin of a whole number from 0: exact below 32, then 16 bins for each doubling."""
     bits = F.length(F.bin(v))
@@ -36,14 +41,16 @@ def bin_low(b: Column) -> Column:
     return F.when(b < 32, b).otherwise(F.expr("shiftleft(16L + b % 16, cast(b div 16 - 6 as int))"))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, lang, source and the counts of each text."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
+    """doc_id, lang, source and the counts of each text; with carry also row, all columns of docs."""
     text = F.coalesce(col(text_col), F.lit(""))
+    row = ["row"] if carry else []
     split = docs.select(
+        *[F.struct(*map(col, docs.columns)).alias("row") for _ in row],
         col(id_col).alias("doc_id"),
         col(lang_col).alias("lang"),
         col(source_col).alias("source"),
-        words(text).alias("w"),
+        held(words(text)).alias("w"),
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WITH_WORD)).alias("lines"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
@@ -52,18 +59,18 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         lambda x, i: F.struct(F.xxhash64(x, F.col("w")[i + 1], F.col("w")[i + 2]).alias("h"), i.alias("i")),
     )
     counted = split.select(
-        "doc_id", "lang", "source", "n_symbols",
+        *row, "doc_id", "lang", "source", "n_symbols",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(windows).alias("s"),
+        held(F.sort_array(windows)).alias("s"),
     )
     rest = F.greatest(F.size("s") - 1, F.lit(0))
     pairs = F.zip_with(F.slice(F.col("s"), 1, rest), F.slice(F.col("s"), 2, rest), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     twice = F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))
     return counted.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+        *row, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
         F.size(F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p, p + 1, p + 2))))).cast("long").alias("n_repeat_words"),
     )
 
@@ -102,23 +109,44 @@ def fences(sketch: DataFrame, keys: list[str], reach: int) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 200, reach: int = 4, **columns: str) -> DataFrame:
-    """doc_id, the counts, base_failed and kept, one row for each row of docs."""
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    counts = cut(measured(docs, **columns).withColumn("base_failed", failed))
+def failed(min_words: int, max_repeat_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
+LIMITS = [f"hi_{k}" for k in SPREAD] + ["lo_length"]
+
+
+def thresholds(counts: DataFrame, min_docs: int, reach: int) -> DataFrame:
+    """g_lang, g_source and the limits of that group, its language or everything."""
     sketch = cut(sketches(counts))
-    limits = [f"hi_{k}" for k in SPREAD] + ["lo_length"]
-    everything = fences(sketch.withColumn("all", F.lit(1)), ["all"], reach).select(*limits).collect()
-    overall = everything[0] if everything else dict.fromkeys(limits, 0)
+    everything = fences(sketch.withColumn("all", F.lit(1)), ["all"], reach).select(*LIMITS).collect()
+    overall = everything[0] if everything else dict.fromkeys(LIMITS, 0)
     fine, by_lang = fences(sketch, ["lang", "source"], reach), fences(sketch, ["lang"], reach)
-    coarse = by_lang.select(F.col("lang").alias("l"), F.col("n").alias("m"), *[F.col(x).alias(f"lang_{x}") for x in limits])
+    coarse = by_lang.select(F.col("lang").alias("l"), F.col("n").alias("m"), *[F.col(x).alias(f"lang_{x}") for x in LIMITS])
     both = fine.join(coarse, F.col("lang").eqNullSafe(F.col("l")), "left")
-    chosen = [F.when(F.col("n") >= min_docs, F.col(x)).when(F.col("m") >= min_docs, F.col(f"lang_{x}")).otherwise(F.lit(overall[x])).alias(x) for x in limits]
-    limit = cut(both.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *chosen))
-    joined = counts.join(small(limit), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    chosen = [F.when(F.col("n") >= min_docs, F.col(x)).when(F.col("m") >= min_docs, F.col(f"lang_{x}")).otherwise(F.lit(overall[x])).alias(x) for x in LIMITS]
+    return cut(both.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *chosen))
+
+
+def judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """counts with the column kept."""
+    joined = counts.join(small(limits), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     m = _measures()
     within = m["length"] >= F.col("lo_length")
     for k in SPREAD:
         within = within & (m[k] <= F.col(f"hi_{k}"))
-    kept = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
+
+
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 200, reach: int = 4, **columns: str) -> DataFrame:
+    """doc_id, the counts, base_failed and kept, one row for each row of docs."""
+    counts = cut(measured(docs, **columns).withColumn("base_failed", failed(min_words, max_repeat_percent)))
+    found = judged(counts, thresholds(counts, min_docs, reach))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 200, reach: int = 4, **columns: str) -> DataFrame:
+    """The rows of docs that quality_rules() keeps.  Texts are measured again rather than moved to their verdicts."""
+    base = failed(min_words, max_repeat_percent)
+    limits = thresholds(cut(measured(docs, **columns).withColumn("base_failed", base)), min_docs, reach)
+    return judged(measured(docs, carry=True, **columns).withColumn("base_failed", base), limits).where("kept").select("row.*")
