@@ -3,8 +3,8 @@
 A document's set holds the hashes of its distinct five-word shingles; equal sets stand together from the start, by their
 smallest id.  Every set has a signature of minwise tokens.  Trees: at a tree's root each set follows one token of its
 signature; a node with more than ``leaf`` sets sends each on to children by further tokens, chosen by the node, until
-nodes are small or ``depth`` is reached.  Small nodes are compared exhaustively by signature, deep nodes that stay large
-(copies of each other) in pairs of blocks.  A task writes a spanning forest of what it found, never all pairs.  With
+nodes are small or ``depth`` is reached.  Small nodes are compared exhaustively by signature, large ones whose members
+are alike (copies of each other, which no token parts) in pairs of blocks.  A task writes a spanning forest of what it found, never all pairs.  With
 similarity s a tree finds a pair with probability of about s; ``trees`` independent ones leave 1 - (1 - s) ** trees.
 
 The components of these likely pairs are the classes to confirm: their full sets meet in blocks, pairs already joined
@@ -31,6 +31,8 @@ from .common import col, cut
 
 #: Tokens of a signature; how many must agree for a pair to be likely (at similarity 0.85 fewer do once in 100,000 times).
 TOKENS, LIKELY = 32, 17
+#: A large node is compared in blocks, not branched, if two of its members share a token with this chance.
+COHERENT = 0.4
 #: Words that are hashed at once.
 WORDS = 1 << 18
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -195,14 +197,17 @@ def chosen_paths(reps: DataFrame, trees: int, leaf: int, depth: int, block: int,
         level = level.where(F.col("members") > leaf)
         if level.isEmpty():
             break
-        if d < depth:
-            picks = [F.pmod(F.xxhash64("node", F.lit(d), F.lit(b)), F.lit(TOKENS)).cast("int") for b in range(2)]
-            children = [F.xxhash64("node", F.lit(b), token(F.col("sig"), p)) for b, p in enumerate(picks)]
-            level = level.select("rep", "n", "sig", F.explode(F.array(*children)).alias("node"))
-        else:
-            dealt = in_blocks(level, "node", F.ceil(F.col("members") / block).cast("long"))
-            group = ["node", "i", "j"]
-            found.append(cut(compare_nodes(sorted_groups(dealt, group, "own", "rep"), group, percent)))
+        picks = [F.pmod(F.xxhash64("node", F.lit(d), F.lit(b)), F.lit(TOKENS)).cast("int") for b in range(2)]
+        children = F.array(*[F.xxhash64("node", F.lit(b), token(F.col("sig"), p)) for b, p in enumerate(picks)])
+        # the chance that two members share a child: where it is high, further levels would only repeat the node
+        sizes = level.select("node", "members", F.explode(children).alias("child")).groupBy("node", "members", "child").agg(F.count("*").alias("c"))
+        alike = F.sum(F.col("c") * F.col("c")) / (len(picks) * F.max(F.col("members") * F.col("members")))
+        level = cut(level.join(sizes.groupBy("node").agg(alike.alias("alike")), "node"))
+        stays = (F.col("alike") >= COHERENT) | F.lit(d == depth)
+        dealt = in_blocks(level.where(stays), "node", F.ceil(F.col("members") / block).cast("long"))
+        group = ["node", "i", "j"]
+        found.append(cut(compare_nodes(sorted_groups(dealt, group, "own", "rep"), group, percent)))
+        level = level.where(~stays).select("rep", "n", "sig", F.explode(children).alias("node"))
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
@@ -269,13 +274,13 @@ def confirm(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, siz
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 8, leaf: int = 64, depth: int = 5, block: int = 512, block_items: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 8, leaf: int = 64, depth: int = 5, block: int = 512, block_items: int = 1_000_000, node_block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     rows = cut(sets(docs, id_col, text_col, size))
     named = rows.where("doc_id is not null and n > 0")
     one = named.groupBy("doc_id").agg(F.min(F.struct("n", "a", "b", "sig")).alias("s")).select("doc_id", "s.*")
     reps = cut(one.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    found = cut(components(chosen_paths(reps, trees, leaf, depth, block, percent)))
+    found = cut(components(chosen_paths(reps, trees, leaf, depth, node_block, percent)))
     members = cut(reps.join(found, "rep"))
     links = cut(confirm(docs, members, id_col, text_col, size, percent, block, block_items).distinct())
     confirmed = cut(components(links))
