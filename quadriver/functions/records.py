@@ -47,13 +47,14 @@ def entries(df: DataFrame, record: str, keep_repeats: bool = False) -> DataFrame
     return df.select("*", F.inline(pairs(F.col(record))))
 
 
-def ordered(record: str) -> Iterator[tuple[str, object]]:
-    """Properties of a JSON record in order, repeats included."""
-    yield from json.loads(record, object_pairs_hook=Pairs)
+class Pairs(list):
+    """A decoded object as a list of pairs; unlike a dict it may repeat a key."""
 
 
-class Pairs(list):
-    """A decoded object as a list of pairs."""
+def ordered(record: str) -> Iterator[tuple[str, object]]:
+    """Properties of a JSON record in order, repeats included; inner records are plain dicts."""
+    plain = lambda x: {k: plain(v) for k, v in x} if isinstance(x, Pairs) else [*map(plain, x)] if isinstance(x, list) else x
+    yield from ((k, plain(v)) for k, v in json.loads(record, object_pairs_hook=Pairs))
 
 
 def append(record: Column, p: str, v: Column) -> Column:
