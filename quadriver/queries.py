@@ -23,7 +23,7 @@ USERS = [f"urn:user:{i}" for i in range(1, 11)]
 
 EVENTS = f"""ev AS (
   SELECT '{DEFAULT_CONTEXT}' AS context, 'urn:user:' || user_id AS item, 'urn:event:' || event_type AS property, epoch_us(ts) // 1000 AS time,
-    (row_number() OVER (PARTITION BY user_id, event_type, epoch_us(ts) // 1000 ORDER BY event_id) - 1)::INT AS "seqNr", value, props
+    (event_id % 2147483647)::INT AS "seqNr", value, props
   FROM events
 )"""
 ORDERS = """od AS (
@@ -46,8 +46,8 @@ def query(sql: str | None = None):
     return add
 
 
-def ev(spark: SparkSession, d: str) -> DataFrame:
-    return views.events(spark, d)
+def ev(spark: SparkSession, d: str, kind: str | None = None, begin: int | None = None, end: int | None = None) -> DataFrame:
+    return views.events(spark, d, kind, begin, end)
 
 
 def shown(df: DataFrame, *more: str) -> DataFrame:
@@ -59,7 +59,7 @@ COLS = 'item, property, time, "seqNr", value'
 
 @query(f"WITH {EVENTS} SELECT {COLS} FROM ev WHERE time BETWEEN {BEGIN} AND {END}")
 def fetch_range(spark, d):
-    return shown(fetch.fetch(ev(spark, d), begin=BEGIN, end=END))
+    return shown(fetch.fetch(ev(spark, d, None, BEGIN, END), begin=BEGIN, end=END))
 
 
 @query(f"WITH {EVENTS}, {RANKED} SELECT {COLS} FROM ranked WHERE rn <= 5")
@@ -88,9 +88,9 @@ def latest_then_value_filter(spark, d):
     return shown(fetch.fetch(ev(spark, d), limit=1)).where("value > 20")
 
 
-@query(f"WITH {EVENTS}, {RANKED} SELECT {COLS} FROM ranked WHERE rn <= 4 AND \"seqNr\" = 0")
+@query(f"WITH {EVENTS}, {RANKED} SELECT {COLS} FROM ranked WHERE rn <= 4 AND \"seqNr\" % 3 = 0")
 def seq_after_limit(spark, d):
-    return shown(fetch.fetch(ev(spark, d), limit=4)).where("seqNr = 0")
+    return shown(fetch.fetch(ev(spark, d), limit=4)).where("seqNr % 3 = 0")
 
 
 @query(f"WITH {EVENTS}, {RANKED} SELECT {COLS}, rn - 1 AS idx FROM ranked WHERE rn - 1 IN (0, 3)")
@@ -164,16 +164,15 @@ def descendants_prefix(spark, d):
 b AS (SELECT item, time // 3600000 AS time, max(value) AS value FROM ev WHERE property = 'urn:event:view' GROUP BY ALL)
 SELECT a.item, time, a.value AS l_value, b.value AS r_value FROM a JOIN b USING (item, time)""")
 def time_join(spark, d):
-    hours = ev(spark, d).groupBy("item", "property", F.expr("time div 3600000").alias("time")).agg(F.max(num()).alias("value"))
-    a, b = (hours.where(F.col("property") == f"urn:event:{k}").drop("property") for k in ("click", "view"))
+    hours = lambda kind: ev(spark, d, kind).groupBy("item", F.expr("time div 3600000").alias("time")).agg(F.max(num()).alias("value"))
+    a, b = hours("click"), hours("view")
     return joins.time_join(a, b, by=("item",))
 
 
 @query(f"""WITH {EVENTS}, {RANKED}, i AS (SELECT *, rn - 1 AS idx FROM ranked)
 SELECT a.item, idx, a.time AS l_time, b.time AS r_time, a.value AS l_value, b.value AS r_value FROM i a JOIN i b USING (item, idx) WHERE a.property = 'urn:event:click' AND b.property = 'urn:event:view'""")
 def time_index_join(spark, d):
-    rows = fetch.with_index(ev(spark, d))
-    a, b = (rows.where(F.col("property") == f"urn:event:{k}").select("item", "idx", "time", num().alias("value")) for k in ("click", "view"))
+    a, b = (fetch.with_index(ev(spark, d, k)).select("item", "idx", "time", num().alias("value")) for k in ("click", "view"))
     return joins.index_join(a, b, by=("item",))
 
 
@@ -183,8 +182,7 @@ SELECT a.item, a.time, a.value, b.time AS r_time, b.value AS r_value FROM a ASOF
 
 
 def _asof(spark, d, **options):
-    rows = ev(spark, d).select("item", "property", "time", "seqNr", num().alias("value"))
-    a, b = (rows.where(F.col("property") == f"urn:event:{k}").drop("property") for k in ("click", "view"))
+    a, b = (ev(spark, d, k).select("item", "time", "seqNr", num().alias("value")) for k in ("click", "view"))
     return joins.asof_join(a.drop("seqNr"), b, ["item"], ["value"], **options)
 
 
@@ -201,9 +199,8 @@ def asof_left_in_spans(spark, d):
 @query(f"""WITH {EVENTS} SELECT a.item, a.time AS begin, b.time AS r_time, b.value AS r_value FROM ev a JOIN ev b ON a.item = b.item AND b.time BETWEEN a.time AND a.time + {2 * DAY}
 WHERE a.property = 'urn:event:error' AND b.property = 'urn:event:click'""")
 def range_join(spark, d):
-    rows = ev(spark, d)
-    a = rows.where("property = 'urn:event:error'").select("item", F.col("time").alias("begin"), (F.col("time") + 2 * DAY).alias("end"))
-    b = rows.where("property = 'urn:event:click'").select("item", "time", num().alias("value"))
+    a = ev(spark, d, "error").select("item", F.col("time").alias("begin"), (F.col("time") + 2 * DAY).alias("end"))
+    b = ev(spark, d, "click").select("item", "time", num().alias("value"))
     return joins.range_join(a, b, ["item"]).drop("end")
 
 
@@ -244,7 +241,7 @@ def exists_semi(spark, d):
 @query(f"""WITH {EVENTS}, {ORDERS} SELECT item, time, value AS number, NULL AS status FROM ev WHERE property = 'urn:event:error'
 UNION ALL SELECT item, time, NULL, status FROM od""")
 def union_series(spark, d):
-    a = ev(spark, d).where("property = 'urn:event:error'").select("item", "time", num().alias("number"))
+    a = ev(spark, d, "error").select("item", "time", num().alias("number"))
     b = views.orders(spark, d).where("property = 'http://ex/p/status'").select("item", "time", F.col("v_string").alias("status"))
     return sets.union(a, b)
 
@@ -253,7 +250,7 @@ _KIND = "SELECT 'urn:user:' || user_id AS item FROM events WHERE event_type = '{
 
 
 def _items_with(spark, d, kind):
-    return ev(spark, d).where(F.col("property") == f"urn:event:{kind}").select("item")
+    return ev(spark, d, kind).select("item")
 
 
 @query(f"{_KIND.format('error')} INTERSECT {_KIND.format('purchase')}")

@@ -17,14 +17,20 @@ def _millis(c: str):
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """urn:user:<id>, urn:event:<type>: the event's value.
+def events(spark: SparkSession, sf_dir: str, kind: str | None = None, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """urn:user:<id>, urn:event:<type>: the event's value; the event's number tells equal times apart.
 
-    The rows are dealt by series once; the sequence numbers, and later windows over a series, need no other exchange.
+    kind, begin and end (milliseconds) are tests on the file's own columns, so they reach the scan.
     """
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("urn:user:"), "user_id").alias("i"), F.concat(F.lit("urn:event:"), "event_type").alias("p"), _millis("ts").alias("t"), "event_id", "value")
-    e = e.withColumn("n", F.row_number().over(Window.partitionBy("i", "p", "t").orderBy("event_id")) - 1)
-    return tuples(e, F.col("i"), F.col("p"), F.col("t"), F.col("n"), "double", F.col("value"))
+    e = table(spark, sf_dir, "events")
+    at = lambda ms: F.timestamp_millis(F.lit(ms)).cast("timestamp_ntz")
+    if kind is not None:
+        e = e.where(F.col("event_type") == kind)
+    if begin is not None:
+        e = e.where(F.col("ts") >= at(begin))
+    if end is not None:
+        e = e.where(F.col("ts") < at(end + 1))
+    return tuples(e, F.concat(F.lit("urn:user:"), "user_id"), F.concat(F.lit("urn:event:"), "event_type"), _millis("ts"), F.pmod("event_id", F.lit(2**31 - 1)), "double", F.col("value"))
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
