@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .common import col, cut
 
-#: Tokens of a signature; how many must agree for a pair to be likely (at similarity 0.85 fewer do once in 100,000 times).
+#: Tokens of a signature; how many must agree for a pair to be likely (at similarity 0.85 fewer do in 4 of a million pairs).
 TOKENS, LIKELY = 32, 17
 #: A large node is compared in blocks, not branched, if two of its members share a token with this chance.
 COHERENT = 0.4
@@ -57,6 +57,11 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(total)
 
 
+def hashes(items: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, 0 for the empty one."""
+    return tuple(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (mixed(items + ODD), mixed(items ^ ODD) * ODD))
+
+
 _ROUNDS = [np.uint64((2 * k + 1) * 0xC2B2AE3D27D4EB4F % 2**64) for k in range(TOKENS)]
 
 
@@ -80,8 +85,8 @@ def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
         for x in column:
             s = shingles(x.as_py(), size)
             n.append(len(s))
-            a.append(int(mixed(s + ODD).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            b.append(int((mixed(s ^ ODD) * ODD).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+            for out, h in zip((a, b), hashes(s), strict=True):
+                out.append(h)
             sig.append(signature(s).tobytes() if len(s) else None)
         return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary())], ["n", "a", "b", "sig"])
 
@@ -193,7 +198,7 @@ def chosen_paths(reps: DataFrame, trees: int, leaf: int, depth: int, block: int,
         counts = level.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1)
         level = cut(level.join(counts, "node"))
         small = level.where(F.col("members") <= leaf)
-        found.append(cut(compare_nodes(sorted_groups(small, ["node"], "rep"), ["node"], percent)))
+        found.append(compare_nodes(sorted_groups(small, ["node"], "rep"), ["node"], percent))
         level = level.where(F.col("members") > leaf)
         if level.isEmpty():
             break
@@ -206,7 +211,7 @@ def chosen_paths(reps: DataFrame, trees: int, leaf: int, depth: int, block: int,
         stays = (F.col("alike") >= COHERENT) | F.lit(d == depth)
         dealt = in_blocks(level.where(stays), "node", F.ceil(F.col("members") / block).cast("long"))
         group = ["node", "i", "j"]
-        found.append(cut(compare_nodes(sorted_groups(dealt, group, "own", "rep"), group, percent)))
+        found.append(compare_nodes(sorted_groups(dealt, group, "own", "rep"), group, percent))
         level = level.where(~stays).select("rep", "n", "sig", F.explode(children).alias("node"))
     links = found[0]
     for more in found[1:]:
@@ -218,34 +223,59 @@ def components(links: DataFrame) -> DataFrame:
     """rep, comp (the smallest rep it is connected to, itself included) of each end of a link."""
     ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     edges = cut(links.select(ranked("u").alias("u"), ranked("v").alias("v")))
-    label = cut(edges.select(F.explode(F.array("u", "v")).alias("x")).distinct().select("x", F.col("x").alias("to")))
+    label = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct().select("x", F.col("x").alias("to"))
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.*")
         parent = cut(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("c"), F.least("x", "y").alias("p")))
         up = lambda df, c: df.join(parent, F.col(c) == F.col("c"), "left").withColumn(c, F.coalesce("p", c)).drop("c", "p")
-        label = cut(up(label, "to"))
+        label = up(label, "to")
         edges = cut(up(up(edges, "u"), "v").where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     least = label.groupBy("to").agg(F.min("x.id").alias("comp"))
     return label.join(least, "to").select(F.col("x.id").alias("rep"), "comp")
 
 
+#: Bits of the filter that spares texts outside the likely classes the exchange; its size does not grow.
+BITS = 1 << 25
+
+
+def might_be(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id may be a member's: all of those, and a few others (more, the more members there are)."""
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(BITS))
+    at = members.select((place(F.col("rep")) + 1).alias("x"))
+    maps = at.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("map")).collect()
+    bits = np.zeros(BITS, bool)
+    for r in maps:
+        found = np.unpackbits(np.frombuffer(r["map"], np.uint8), bitorder="little")
+        start = (r["bucket"] - 1) * 32768
+        bits[start : start + len(found)] = found[: BITS - start]
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.arrow_udf("boolean")
+    def test(places: pa.Array) -> pa.Array:
+        p = places.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((sent.value[p >> 3] >> (7 - (p & 7)) & 1).astype(bool))
+
+    return docs.where(col(id_col).isNotNull()).where(test(place(col(id_col))))
+
+
 def confirm(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, percent: int, block: int, block_items: int) -> DataFrame:
     """u, v: links of members (rep, comp, n, sig) whose full sets reach the similarity, as a forest of each block pair."""
     total = members.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("items"))
     blocks = F.ceil(F.greatest(F.col("members") / block, F.col("items") / block_items)).cast("long")
-    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
+    texts = might_be(docs, members, id_col).select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
 
-    @F.arrow_udf("struct<n:int,a:bigint,b:bigint,items:binary>")
-    def full(column: pa.Array) -> pa.Array:
-        found = [shingles(x.as_py(), size) for x in column]
-        n = pa.array([len(s) for s in found], pa.int32())
-        a = pa.array([int(mixed(s + ODD).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in found], pa.int64())
-        b = pa.array([int((mixed(s ^ ODD) * ODD).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in found], pa.int64())
-        return pa.StructArray.from_arrays([n, a, b, pa.array([s.tobytes() for s in found], pa.binary())], ["n", "a", "b", "items"])
+    @F.arrow_udf("binary")
+    def full(column: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        """The set, where it is the one that the two hashes tell of."""
+        out = []
+        for x, p, q in zip(column, a, b, strict=True):
+            s = shingles(x.as_py(), size)
+            out.append(s.tobytes() if hashes(s) == (p.as_py(), q.as_py()) else None)
+        return pa.array(out, pa.binary())
 
-    held = members.join(texts, F.col("rep") == F.col("id")).withColumn("s", full("text")).where("s.n = n and s.a = a and s.b = b")
+    held = members.join(texts, F.col("rep") == F.col("id")).withColumn("items_of", full("text", "a", "b")).where("items_of is not null")
     # repeated rows of an id hold the same set now; one is enough
-    held = held.select("rep", "comp", "n", "sig", F.col("s.items").alias("items_of")).dropDuplicates(["rep"]).join(total, "comp")
+    held = held.select("rep", "comp", "n", "sig", "items_of").dropDuplicates(["rep"]).join(total, "comp")
     group = ["comp", "i", "j"]
     dealt = sorted_groups(in_blocks(held, "comp", blocks), group, "own", "rep")
 
@@ -274,7 +304,7 @@ def confirm(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, siz
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 8, leaf: int = 64, depth: int = 5, block: int = 512, block_items: int = 1_000_000, node_block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 8, leaf: int = 256, depth: int = 5, block: int = 512, block_items: int = 1_000_000, node_block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     rows = cut(sets(docs, id_col, text_col, size))
     named = rows.where("doc_id is not null and n > 0")
