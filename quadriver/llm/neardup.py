@@ -19,6 +19,8 @@ the smallest set of that id.  Empty table: empty result.  Other columns of the i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,8 @@ from pyspark.sql.window import Window
 
 from .common import col, cut
 
-#: Tokens of a signature; how many must agree for a pair to be likely (at similarity 0.85 fewer do in 4 of a million pairs).
-TOKENS, LIKELY = 32, 17
+#: Tokens of a signature; of pairs just at the similarity at most this share may agree in too few of them to be likely.
+TOKENS, MISSED = 32, 4e-6
 #: A large node is compared in blocks, not branched, if two of its members share a token with this chance.
 COHERENT = 0.4
 #: Words that are hashed at once.
@@ -110,9 +112,20 @@ class Joined:
         return ids[at], ids[self.of[at]]
 
 
+@lru_cache
+def agreeing(percent: int) -> int:
+    """How many tokens must agree for a pair to be likely: at 85 percent 17, at 80 percent 14."""
+    p, missed = percent / 100, 0.0
+    for k in range(TOKENS):
+        missed += comb(TOKENS, k) * p**k * (1 - p) ** (TOKENS - k)
+        if missed > MISSED:
+            return k
+    return TOKENS
+
+
 def likely(sigs: np.ndarray, sizes: np.ndarray, i: int, among: slice, percent: int) -> np.ndarray:
     """Which members of a slice may reach the similarity with member i."""
-    same = (sigs[among] == sigs[i]).sum(axis=1) >= LIKELY
+    same = (sigs[among] == sigs[i]).sum(axis=1) >= agreeing(percent)
     return same & (100 * np.minimum(sizes[among], sizes[i]) >= percent * np.maximum(sizes[among], sizes[i]))
 
 

@@ -1,7 +1,11 @@
 """The pipeline on a small table, stage by stage."""
 
+import random
+
+import numpy as np
+
 import corpus_pipeline
-from quadriver.llm import pieces
+from quadriver.llm import neardup, pieces
 
 
 def test_stages(spark, docs, tmp_path):
@@ -25,3 +29,28 @@ def test_stages(spark, docs, tmp_path):
 def test_empty(spark, none, tmp_path):
     none.select("doc_id", "text", "lang", "source").selectExpr("*", "length(text) as n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_below_op5s_similarity(spark):
+    rng = random.Random(12)
+    rows, gone = [], set()
+    for k, edits in enumerate([2, 3, 4, 5] * 6):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(154)]
+        copy = list(words)
+        for e in range(edits):
+            copy[10 + 20 * e] = f"edit{e}"
+        # 150 shingles each; an edit changes five
+        percent = 100 * (150 - 5 * edits) / (150 + 5 * edits)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        gone |= {2 * k + 1} if percent >= 80 else set()
+        assert (percent >= 85, percent >= 80) == (edits == 2, edits <= 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {i for i, _ in rows} - gone
+    assert neardup.near_duplicates(docs).where("not kept").count() == 6
+
+
+def test_signatures_agree_enough():
+    assert [neardup.agreeing(p) for p in (80, 85, 100)] == [14, 17, 32]
+    sigs = np.zeros((2, neardup.TOKENS), np.uint32)
+    sigs[1, 15:] = 1
+    assert [neardup.likely(sigs, np.array([150, 150]), 0, slice(1, None), p).tolist() for p in (80, 85)] == [[True], [False]]
