@@ -152,12 +152,28 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
-def hidden_spans(text: str, taken: list[Span]) -> list[Span]:
+def mapped_spans(text: str) -> set[Span]:
+    """What the patterns find in the rewritten text, as source offsets."""
     if not disguised(text):
-        return []
+        return set()
     norm, starts, ends = normalise(text)
-    found = {(starts[a], ends[b - 1], k) for a, b, k in plain_spans(norm)}
-    return [x for x in found if not any(k == x[2] and a < x[1] and x[0] < b for a, b, k in taken)]
+    return {(starts[a], ends[b - 1], k) for a, b, k in plain_spans(norm)}
+
+
+def touches(x: Span, taken: list[Span]) -> bool:
+    return any(k == x[2] and a < x[1] and x[0] < b for a, b, k in taken)
+
+
+def hidden_spans(text: str, taken: list[Span]) -> list[Span]:
+    """Disguised identifiers apart from all plain spans of their kind."""
+    return [x for x in mapped_spans(text) if not touches(x, taken)]
+
+
+def longer_spans(text: str, taken: list[Span]) -> list[Span]:
+    """Disguised identifiers of which the plain patterns saw only a part."""
+    if not taken:
+        return []
+    return [x for x in mapped_spans(text) if touches(x, taken) and not any(k == x[2] and a <= x[0] and x[1] <= b for a, b, k in taken)]
 
 
 def joined(spans: list[Span]) -> str:
@@ -175,7 +191,7 @@ def find_pii(text: Column) -> Column:
             t = x.as_py() or ""
             base = plain_spans(t)
             n = [k for _, _, k in base]
-            out.append({f"n_{k}": n.count(k) for k in KINDS} | {"base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(base + hidden_spans(t, base))})
+            out.append({f"n_{k}": n.count(k) for k in KINDS} | {"base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(base + hidden_spans(t, base) + longer_spans(t, base))})
         return pa.array(out, kind)
 
     return scan(text)

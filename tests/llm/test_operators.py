@@ -179,6 +179,24 @@ def test_disguises(text, found):
     assert [(text[a:b], k) for a, b, k in pii.hidden_spans(text, base)] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("jo\u200bhn@ex.com", ["jo\u200bhn@ex.com", "hn@ex.com"]),
+        ("to j\u043ehn.doe@example.com now", ["j\u043ehn.doe@example.com", "hn.doe@example.com"]),
+        ("a@ex.c\u043em", ["a@ex.c", "a@ex.c\u043em"]),
+        ("+49 151 2345\u200b678 or ja\u00adne@ex.com", ["ja\u00adne@ex.com", "ne@ex.com", "+49 151 2345", "+49 151 2345\u200b678"]),
+        ("card 4539 1488 0343\u2011646\u200b7, ip 192.168.0.1\u200b2", ["192.168.0.1", "192.168.0.1\u200b2", "4539 1488 0343\u2011646\u200b7"]),
+        ("jo@ex.com, r\u0435sume\u200b", ["jo@ex.com"]),
+    ],
+)
+def test_disguise_within_an_identifier(spark, text, found):
+    r = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",")]
+    assert [text[a:b] for a, b in at] == found
+    assert r.base_sha256 == by_hash(f"{k}:{a}:{b}" for a, b, k in plain_pii(text))
+
+
 # near duplicates
 
 
