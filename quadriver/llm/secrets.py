@@ -1,10 +1,10 @@
 """Secrets in texts: fixed patterns, and random strings that a tokenizer finds incompressible.
 
 Words and identifiers split into few, long tokens of a byte-pair vocabulary; a random string splits into many short
-ones.  Runs of 20 or more key characters with letters and digits are tokenised; one with fewer than ``max_ratio``
-characters a token is a secret (kind ``random``) unless it is a known digest (hexadecimal of a digest's length, or a
-UUID) or an identifier (each of its parts a word or a number).  Runs that touch a span of a fixed pattern are not
-reported again.
+ones.  Runs of 20 or more key characters with a letter are tokenised; one with fewer than ``max_ratio`` characters a
+token is a secret (kind ``random``) unless it is a known digest (hexadecimal of a digest's length, or a UUID) or an
+identifier (each of its parts a word or a number).  Assignments are cut out of a run before; a run of which the other
+fixed patterns cover all but words and numbers is not reported again.
 
 Null text: empty.  Repeated rows: each is scanned.  Equal starts: kinds as listed in KINDS.  Empty table: empty result.
 Other columns of the input are left alone.
@@ -31,7 +31,7 @@ NAMES = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+LETTER = re.compile(r"[A-Za-z]")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SEPARATOR = re.compile(r"[+/_=-]+")
@@ -64,14 +64,30 @@ def identifier(run: str) -> bool:
     return len(words) <= len(run) / 4 and all(w.isdigit() or len(w) >= 3 for w in words)
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a range that no span covers."""
+    parts = []
+    for a, b, _ in sorted(spans):
+        if b <= start or a >= end:
+            continue
+        if a > start:
+            parts.append((start, a))
+        start = b
+    return [*parts, (start, end)] if start < end else parts
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], max_ratio: float, path: str) -> list[tuple[int, int, str]]:
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if not MIXED.match(run) or DIGEST.fullmatch(run) or identifier(run) or any(a < m.end() and m.start() < b for a, b, _ in taken):
-            continue
-        if len(run) < max_ratio * len(encoder(path).encode_ordinary(run)):
-            found.append((m.start(), m.end(), "random"))
+        near = [x for x in taken if x[0] < m.end() and m.start() < x[1]]
+        for a, b in outside(*m.span(), [x for x in near if x[2] == "assign"]) if near else [m.span()]:
+            run = text[a:b]
+            if len(run) < 20 or not LETTER.search(run) or DIGEST.fullmatch(run) or identifier(run):
+                continue
+            if near and all(w.isdigit() or len(w) >= 3 for i, j in outside(a, b, near) for w in PART.findall(text[i:j])):
+                continue
+            if len(run) < max_ratio * len(encoder(path).encode_ordinary(run)):
+                found.append((a, b, "random"))
     return found
 
 

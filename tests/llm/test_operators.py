@@ -136,6 +136,22 @@ def test_random_strings(spark):
     assert [r[0] for r in df.select(secrets.redact(F.col("text"))).collect()] == [t.replace(t[4:28], "[secret]"), None]
 
 
+@pytest.mark.parametrize(
+    ("text", "spans", "clean"),
+    [
+        ("key qZxKmPvLwTnBcRyHgJdFsQaXeUoIpKtV end", "random:4:36", "key [secret] end"),
+        ("key qZ7xK2mP9vL40123456789abcdefXn8wB3cR6yH1 end", "random:4:44,hex:15:32", "key [secret] end"),
+        ("my_api_key=qZ7xK2mP9vL4wT8nB3cR", "assign:3:31", "my_[secret]"),
+        ("qZ7xK2mP9vL4wT8nB3cR6yH1_token=abcdefghijklmnop", "random:0:25,assign:25:47", "[secret][secret]"),
+        ("commit/0123456789abcdef0123 Donaudampfschifffahrtsgesellschaft /usr/share/Application-Support --------------------", "hex:7:27", None),
+    ],
+)
+def test_random_strings_of_letters_and_around_patterns(spark, text, spans, clean):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.secret_scan(df).first().spans == spans
+    assert df.select(secrets.redact(F.col("text"))).first()[0] == (clean or text.replace(text[7:27], "[secret]"))
+
+
 # personal data
 
 
