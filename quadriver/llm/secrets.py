@@ -6,7 +6,7 @@ token is a secret (kind ``random``) unless it is a known digest (hexadecimal of
 identifier (each of its parts a word or a number).  Assignments are cut out of a run before; a run of which the other
 fixed patterns cover all but words and numbers is not reported again.
 
-Null text: empty.  Repeated rows: each is scanned.  Equal starts: kinds as listed in KINDS.  Empty table: empty result.
+Null text: empty.  Very long texts: time grows in proportion.  Repeated rows: each is scanned.  Equal starts: kinds as listed in KINDS.  Empty table: empty result.
 Other columns of the input are left alone.
 """
 
@@ -34,6 +34,8 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 LETTER = re.compile(r"[A-Za-z]")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Longer runs are tokenised in pieces of so many characters, as merging takes more than linear time.
+PIECE = 4096
 SEPARATOR = re.compile(r"[+/_=-]+")
 
 
@@ -77,16 +79,24 @@ def outside(start: int, end: int, spans: list[tuple[int, int, str]]) -> list[tup
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], max_ratio: float, path: str) -> list[tuple[int, int, str]]:
-    found = []
+    found, spans = [], [sorted(x for x in taken if x[2] == k) for k in KINDS]
+    place = [0] * len(spans)
     for m in RUN.finditer(text):
-        near = [x for x in taken if x[0] < m.end() and m.start() < x[1]]
+        near = []
+        for n, of_kind in enumerate(spans):  # runs and the spans of a kind both come in order, without overlaps
+            while place[n] < len(of_kind) and of_kind[place[n]][1] <= m.start():
+                place[n] += 1
+            at = place[n]
+            while at < len(of_kind) and of_kind[at][0] < m.end():
+                near.append(of_kind[at])
+                at += 1
         for a, b in outside(*m.span(), [x for x in near if x[2] == "assign"]) if near else [m.span()]:
             run = text[a:b]
             if len(run) < 20 or not LETTER.search(run) or DIGEST.fullmatch(run) or identifier(run):
                 continue
             if near and all(w.isdigit() or len(w) >= 3 for i, j in outside(a, b, near) for w in PART.findall(text[i:j])):
                 continue
-            if len(run) < max_ratio * len(encoder(path).encode_ordinary(run)):
+            if len(run) < max_ratio * sum(len(encoder(path).encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE)):
                 found.append((a, b, "random"))
     return found
 
