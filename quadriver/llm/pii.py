@@ -1,12 +1,13 @@
 """Personal data in texts, also where it is disguised.
 
 Plain identifiers are found in the text as it is.  Disguised ones are found by two transducers that keep offsets: the
-first maps look-alike characters to ASCII, one for one; the second rewrites spelled digits, "(at)" and "(dot)" forms and
-drops invisible characters, and remembers for each character it writes the source characters it stands for.  The same
-patterns run over the result, and what they find is mapped back to source offsets.  A found span that touches a plain
-span of its kind is not reported again.
+first maps look-alike characters to ASCII, one for one; the second rewrites spelled digits (two in a row, or one beside a
+figure or a plus), "(at)" and "(dot)" forms and drops invisible characters, and remembers for each character it writes the
+source characters it stands for.  The same patterns run over the result, and what they find is mapped back to source
+offsets.  A found span that lies within a plain span of its kind is not reported again; one that reaches further is.
+A bare "at" before a dotted name counts only after a word that prose does not have (with a point, figure, _, + or %).
 
-Null text: empty.  Repeated rows: each is scanned.  Empty table: empty result.  Other columns of the input are left
+Null text: empty.  Very long texts: time grows in proportion.  Repeated rows: each is scanned.  Empty table: empty result.  Other columns of the input are left
 alone.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -102,17 +104,20 @@ def odd() -> np.ndarray:
 
 
 _WORD = "|".join(DIGITS)
-#: Three spelled digits in a row have one of these in the middle.
-INNER = tuple(f" {w} " for w in DIGITS)
+#: Two spelled digits in a row, or one beside a figure or a plus.
+NEAR_FIGURE = re.compile(rf"(?:[0-9+]|\b(?:plus|{_WORD}))[\x20-]+(?:{_WORD})\b|\b(?:plus|{_WORD})[\x20-]+[0-9]", re.I)
+#: Runs of white space are entered at their first character alone and never given back, so time stays linear.
 REWRITE = re.compile(
-    rf"""(?P<digits>(?:\bplus[\x20-]+)?\b(?:{_WORD})(?:[\x20-]+(?:{_WORD})){{2,}}\b)
-    |(?P<at>\s*(?:\(at\)|\[at\]|\{{at\}}|<at>|\(@\)|\[@\])\s*|\x20at\x20(?=[a-z0-9-]+\x20dot\x20[a-z]))
-    |(?P<dot>\s*(?:\(dot\)|\[dot\]|\{{dot\}}|<dot>|\(\.\)|\[\.\])\s*|(?<=[a-z0-9])\x20dot\x20(?=[a-z0-9]))
+    rf"""(?P<digits>(?:\bplus[\x20-]++)?\b(?:{_WORD})(?:[\x20-]++(?:{_WORD}))+\b
+        |\bplus[\x20-]++(?:(?:{_WORD})\b|(?=[0-9]))|(?<=[0-9+][\x20-])(?:{_WORD})\b|(?<=[+])(?:{_WORD})\b|\b(?:{_WORD})(?=[\x20-][0-9]))
+    |(?P<at>(?<!\s)\s*+(?:\(\s{{0,3}}(?:at|@)\s{{0,3}}\)|\[\s{{0,3}}(?:at|@)\s{{0,3}}\]|\{{\s{{0,3}}(?:at|@)\s{{0,3}}\}}|<\s{{0,3}}(?:at|@)\s{{0,3}}>)\s*+|\x20at\x20(?=[a-z0-9-]++\x20dot\x20[a-z]))
+    |(?P<bare>\x20at\x20(?=[a-z0-9-]++\.[a-z0-9]))
+    |(?P<dot>(?<!\s)\s*+(?:\(\s{{0,3}}(?:dot|\.)\s{{0,3}}\)|\[\s{{0,3}}(?:dot|\.)\s{{0,3}}\]|\{{\s{{0,3}}(?:dot|\.)\s{{0,3}}\}}|<\s{{0,3}}dot\s{{0,3}}>)\s*+|(?<=[a-z0-9])\x20dot\x20(?=[a-z0-9]))
     |(?P<gone>[{INVISIBLE}])""",
     re.I | re.X,
 )
 ONE_DIGIT = re.compile(rf"plus|{_WORD}", re.I)
-MARKS = ("(at)", "[at]", "{at}", "<at>", "(@)", "[@]", "(dot)", "[dot]", "{dot}", "<dot>", "(.)", "[.]", " dot ")
+MARKED = re.compile(r"[(\[{<]\s{0,3}(?:at|@|dot|\.)\s{0,3}[)\]}>]|\x20dot\x20|\x20at\x20[a-z0-9-]++\.[a-z0-9]")
 
 
 def disguised(text: str) -> bool:
@@ -120,60 +125,84 @@ def disguised(text: str) -> bool:
     if not text.isascii() and odd()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
         return True
     low = text.lower()
-    if any(m in low for m in MARKS):
+    if MARKED.search(low):
         return True
-    spaced = low.replace("-", " ")
-    return any(w in spaced for w in INNER)
+    return any(w in low for w in DIGITS) and NEAR_FIGURE.search(low) is not None
 
 
-def normalise(text: str) -> tuple[str, list[int], list[int]]:
-    """The rewritten text and, for each of its characters, start and end of what it stands for in the source."""
-    even = text.translate(look_alikes())
-    out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
+class Normalised:
+    """A rewritten text in pieces: copied ones, whose characters stand for themselves, and written ones for a source range."""
+
+    def __init__(self):
+        self.out: list[str] = []
+        self.at: list[int] = []  # where each piece begins in the rewritten text
+        self.source: list[tuple[int, int, bool]] = []  # its source range; whether it is copied
+        self.size = 0
+
+    def write(self, s: str, start: int, end: int, copied: bool) -> None:
+        if s:
+            self.out.append(s)
+            self.at.append(self.size)
+            self.source.append((start, end, copied))
+            self.size += len(s)
+
+    @property
+    def text(self) -> str:
+        return "".join(self.out)
+
+    def of(self, i: int) -> tuple[int, int]:
+        """Source range of the i-th character."""
+        n = bisect_right(self.at, i) - 1
+        start, end, copied = self.source[n]
+        return (start + i - self.at[n], start + i - self.at[n] + 1) if copied else (start, end)
+
 
-    def write(s: str, spans) -> None:
-        out.append(s)
-        for a, b in spans:
-            starts.append(a)
-            ends.append(b)
+def told_apart(text: str, end: int, after: int) -> bool:
+    """Whether the word before a bare "at" looks like a mail box, not like prose: it holds a point, a figure, _, + or %."""
+    start = end
+    while start > after and text[start - 1] in LOCAL:
+        start -= 1
+    return any(not c.isalpha() and c != "-" for c in text[start:end])
 
-    at = 0
+
+def normalise(text: str) -> Normalised:
+    even = text.translate(look_alikes())
+    out, at = Normalised(), 0
     for m in REWRITE.finditer(even):
-        write(even[at : m.start()], ((i, i + 1) for i in range(at, m.start())))
+        a, b = m.span()
+        if m["bare"] and not told_apart(even, a, at):
+            continue
+        out.write(even[at:a], at, a, True)
         if m["digits"]:
-            for w in ONE_DIGIT.finditer(even, m.start(), m.end()):
-                write("+" if w[0].lower() == "plus" else str(DIGITS.index(w[0].lower())), [w.span()])
-        elif m["at"] or m["dot"]:
-            write("@" if m["at"] else ".", [m.span()])
-        at = m.end()
-    write(even[at:], ((i, i + 1) for i in range(at, len(even))))
-    return "".join(out), starts, ends
+            for w in ONE_DIGIT.finditer(even, a, b):
+                out.write("+" if w[0].lower() == "plus" else str(DIGITS.index(w[0].lower())), *w.span(), False)
+        elif not m["gone"]:
+            out.write("." if m["dot"] else "@", a, b, False)
+        at = b
+    out.write(even[at:], at, len(even), True)
+    return out
 
 
 def mapped_spans(text: str) -> set[Span]:
     """What the patterns find in the rewritten text, as source offsets."""
     if not disguised(text):
         return set()
-    norm, starts, ends = normalise(text)
-    return {(starts[a], ends[b - 1], k) for a, b, k in plain_spans(norm)}
-
-
-def touches(x: Span, taken: list[Span]) -> bool:
-    return any(k == x[2] and a < x[1] and x[0] < b for a, b, k in taken)
+    norm = normalise(text)
+    return {(norm.of(a)[0], norm.of(b - 1)[1], k) for a, b, k in plain_spans(norm.text)}
 
 
 def hidden_spans(text: str, taken: list[Span]) -> list[Span]:
-    """Disguised identifiers apart from all plain spans of their kind."""
-    return [x for x in mapped_spans(text) if not touches(x, taken)]
+    """Disguised identifiers that no plain span of their kind covers; those of a kind do not overlap, so one look-up tells."""
+    found = mapped_spans(text)
+    if not found:
+        return []
+    by = {k: sorted(x[:2] for x in taken if x[2] == k) for k in KINDS}
 
+    def covered(a: int, b: int, k: str) -> bool:
+        n = bisect_right(by[k], (a, len(text) + 1)) - 1
+        return n >= 0 and b <= by[k][n][1]
 
-def longer_spans(text: str, taken: list[Span]) -> list[Span]:
-    """Disguised identifiers of which the plain patterns saw only a part."""
-    if not taken:
-        return []
-    return [x for x in mapped_spans(text) if touches(x, taken) and not any(k == x[2] and a <= x[0] and x[1] <= b for a, b, k in taken)]
+    return [x for x in found if not covered(*x)]
 
 
 def joined(spans: list[Span]) -> str:
@@ -191,7 +220,7 @@ def find_pii(text: Column) -> Column:
             t = x.as_py() or ""
             base = plain_spans(t)
             n = [k for _, _, k in base]
-            out.append({f"n_{k}": n.count(k) for k in KINDS} | {"base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(base + hidden_spans(t, base) + longer_spans(t, base))})
+            out.append({f"n_{k}": n.count(k) for k in KINDS} | {"base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(base + hidden_spans(t, base))})
         return pa.array(out, kind)
 
     return scan(text)
