@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -39,10 +40,53 @@ def test_language(docs, none, texts):
     assert {r.lang_pred for r in langid.predict_languages(unlabelled).collect()} == {"und"}
 
 
-def test_grams_of_blocks():
-    text = "Ab  c1ß"
-    assert len(next(langid.grams(text))) == 4 + 7 + 6
-    assert list(langid.grams("")) == [] and list(langid.grams("12 ..")) == []
+def plain_grams(text):
+    """Buckets of the 1- to 3-grams of the letters, words apart by a zero, in plain integers."""
+    c = [0]
+    for x in text:
+        x = ord(x.lower() if len(x.lower()) == 1 else x) if x.isalpha() else 0
+        c += [x] if x or c[-1] else []
+    c += [0] if c[-1] else []
+    mod, out = 2**64, []
+    for n in (1, 2, 3):
+        for g in zip(*(c[k:] for k in range(n)), strict=False):
+            if any(g):
+                h = g[0] * 0x9E3779B97F4A7C15 if n == 1 else g[0] * 0xC2B2AE3D27D4EB4F + g[1] * 0x165667B19E3779F9 + (g[2] * 0x27D4EB2F165667C5 if n == 3 else 0)
+                h %= mod
+                out.append(((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % mod) >> 48)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 19])
+def test_grams_of_blocks(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = random.Random(block)
+    texts = ["Ab  c1ß", "", "12 ..", "a", "1a1", "  x  ", *("".join(rng.choice("aB ß1é .") for _ in range(rng.randrange(40))) for _ in range(60))]
+    for t in texts:
+        assert sorted(x for h in langid.grams(t) for x in h.tolist()) == plain_grams(t)
+
+
+@pytest.mark.parametrize("group", [1, 2, 64])
+def test_language_is_plain_naive_bayes(docs, texts, monkeypatch, group):
+    monkeypatch.setattr(langid, "GROUP", group)
+    of = [(i, t, lang) for i, t, lang, _ in texts if i is not None and i < 158]
+    learned = [(t, lang) for i, t, lang in of if lang and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {k: collections.Counter(g for t, lang in learned if lang == k for g in plain_grams(t)) for k in sorted({lang for _, lang in learned})}
+    n = collections.Counter(lang for _, lang in learned)
+    got = {r.doc_id: r for r in langid.predict_languages(docs.where("doc_id < 158").dropDuplicates(["doc_id"]), rows_per_lang=10**6).collect()}
+    for i, t, _ in of:
+        grams = collections.Counter(plain_grams(t or ""))
+        if not grams:
+            continue
+        sums = {k: math.log(n[k] / len(learned)) + sum(m * math.log((c[g] + 0.05) / (c.total() + 0.05 * langid.BUCKETS)) for g, m in grams.items()) for k, c in counts.items()}
+        top = max(sums.values())
+        assert sums[got[i].lang_pred] == pytest.approx(top, abs=1e-2) and got[i].score == pytest.approx(1 / sum(math.exp(x - top) for x in sums.values()), abs=1e-2)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 150)}{chr(0x5E00 + i % 150)} " * 5, f"l{i % 150:03}") for i in range(1200)]
+    got = langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in got.collect()} == {r[2] for r in rows}
 
 
 # exact top-k
@@ -57,19 +101,22 @@ def plain_top(data, k=5):
     out = []
     for i, q in best.items():
         if i % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, w, strict=True)), j) for j, w in best.items() if j != i and len(w) == len(q))
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, w, strict=True)))), j) for j, w in best.items() if j != i and len(w) == len(q))
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8, 4096])
+@pytest.mark.parametrize("block", [40, 1 << 19])
 def test_top_k(spark, monkeypatch, block):
-    monkeypatch.setattr(vafile, "BLOCK_ROWS", block)
+    monkeypatch.setattr(vafile, "BLOCK_ITEMS", block)
     rng = random.Random(block)
     data = [(i, [rng.gauss(0, 0.2) for _ in range(6)]) for i in range(220)]
     data += [(i, [0.5] * 6) for i in range(300, 340)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (450, [1.0, 2.0]), (451, [3.0, 4.0]), (500, [])]
+    data += [(600 + i, [1e20 * (i - 2), 1.0, 0.0, -3e15, 0.1, 0.2]) for i in range(5)] + [(700, [2.0**44 + i for i in range(6)]), (650, [1e-3, 0, 0, 0, 0, 1.0])]
+    data += [(1000 + i, [10.0 * (i % 3 == k) + rng.gauss(0, 0.1) for k in range(6)]) for i in range(150)]
     data += data[:3] + [(0, [9.0] * 6)]
-    df = spark.createDataFrame([(i, v, 1, 1) for i, v in data], "vec_id long, embedding array<float>, rank int, block int")
+    data = [(i, v and [x if x is None else float(x) for x in v]) for i, v in data]
+    df = spark.createDataFrame([(i, v, 1, 1) for i, v in data], "vec_id long, embedding array<double>, rank int, block int")
     exact = [(r.vec_id, r.embedding) for r in df.collect()]
     assert sorted(tuple(r) for r in vafile.top_k(df).collect()) == plain_top(exact)
     assert vafile.top_k(df.where("false")).count() == 0
