@@ -193,9 +193,10 @@ def reachable(pivots: list[np.ndarray], radius: dict[int, float], blocks: dict[i
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, bits: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of each row whose id is divisible by query_every."""
     rows = prepared(vectors, id_col, vector_col, scale)
-    picked = rows.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id", "v").limit(PIVOTS).collect()
-    # vectors are counted by ids here, so repeated rows only make for smaller blocks
-    needed = -(-(rows.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0) // BLOCK_ITEMS)
+    first = vectors.select(col(id_col), col(vector_col)).orderBy(F.xxhash64(F.lit("pivot"), col(id_col)), col(id_col)).limit(PIVOTS)
+    picked = prepared(first, id_col, vector_col, scale).collect()
+    # all rows count here, so repeated ones only make for smaller blocks
+    needed = -(-(vectors.agg(F.sum(F.size(col(vector_col)).cast("long"))).first()[0] or 0) // BLOCK_ITEMS)
     pivots = [p for p in (np.array(r["v"], float) for r in picked[: max(1, needed)]) if (np.abs(p) < LARGEST).all()]
     placed = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("near", nearest(pivots)).select("vec_id", "v", "near.*"))
     items = F.sum(F.size("v").cast("long") + 1)
@@ -209,9 +210,9 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     pairs = F.create_map(*[x for c, (first, n) in blocks.items() for x in (F.lit(c), F.struct(F.lit(first).alias("first"), F.lit(n).alias("n")))]) if blocks else F.lit(None).cast("map<int,struct<first:int,n:int>>")
     place = F.try_element_at(pairs, F.col("cluster"))
     block = (place["first"] + F.pmod(F.xxhash64("v"), place["n"])).cast("int")
-    same = Window.partitionBy("v").orderBy("vec_id")
-    few = placed.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
-    data = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("cluster").alias("cluster"))
+    same = Window.partitionBy("h", "v").orderBy("vec_id")  # the hash makes comparisons short
+    few = placed.withColumn("h", F.xxhash64("v")).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
+    data = few.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("cluster").alias("cluster"))
     data = cut(data.select(block.alias("block"), F.size("v").alias("dim"), "ids", "v"))
     asked = placed.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), F.size("v").alias("dim"), "v", "cluster", "norm", block.alias("seen"))
     first = cut(searched(data, asked.select(F.col("seen").alias("block"), "dim", "query_id", F.lit(float("-inf")).alias("known"), "v"), total, k, bits))
