@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,17 +14,21 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: A table of at most so many rows may be sent to every executor.
 SMALL_ROWS = 20_000
+#: A key with more than one HOT-th of all rows, and more than LEAST_HOT, is hot.
+HOT, LEAST_HOT = 2_000, 1_000
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there.
 
-    The folder comes from ``spark.checkpoint.dir`` (Spark reads it at start); only a session without one, as in
-    tests, gets a temporary folder.
+    The folder comes from ``spark.checkpoint.dir`` (Spark reads it at start).  Only a local session without one, as in
+    tests, gets a temporary folder; on a cluster executors would not see that, so it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quadriver-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -47,6 +52,23 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
+def joined_by(df: DataFrame, side: DataFrame, keys: list[str], copies: str, how: str = "inner") -> DataFrame:
+    """df joined (inner or left) with side, whose keys are unique and whose column copies tells how many rows of df have them (at most).
+
+    A small side is broadcast.  Otherwise keys with more than a HOT-th of all rows, fewer than HOT of them, are broadcast,
+    and the rest is shuffled, so that no task gets more than such a share for one key.  Side should be stored.
+    """
+    rows, total, most = side.agg(F.count("*"), F.sum(copies), F.max(copies)).first()
+    if rows <= SMALL_ROWS:
+        return df.join(F.broadcast(side), keys, how)
+    limit = max(LEAST_HOT, total // HOT)
+    if most <= limit:
+        return df.join(side, keys, how)
+    hot = side.where(F.col(copies) > limit)
+    others = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.where(F.col(copies) <= limit), keys, how)
+    return df.join(F.broadcast(hot), keys).unionByName(others)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,25 +1,33 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document's set holds the hashes of its distinct five-word shingles; equal sets stand together from the start, by their
-smallest id.  Every set has a signature of minwise tokens.  Trees: at a tree's root each set follows one token of its
-signature; a node with more than ``leaf`` sets sends each on to children by further tokens, chosen by the node, until
-nodes are small or ``depth`` is reached.  Small nodes are compared exhaustively by signature, large ones whose members
-are alike (copies of each other, which no token parts) in pairs of blocks.  A task writes a spanning forest of what it found, never all pairs.  With
-similarity s a tree finds a pair with probability of about s; ``trees`` independent ones leave 1 - (1 - s) ** trees.
-
-The components of these likely pairs are the classes to confirm: their full sets meet in blocks, pairs already joined
-there are skipped, the others' intersections are counted exactly.  Components of the confirmed links are the result.
-Components are found by contraction: every class joins its neighbour of least random rank, round after round.
+A document's set holds the hashes of its distinct five-word shingles; equal sets stand together from the start.  Every
+set has a signature of minwise tokens.  Trees: at a tree's root each set follows one token of its signature; a node with
+more than ``leaf`` sets sends each on to children by further tokens, chosen by the node, until nodes are small or
+``depth`` is reached.  Small nodes are compared exhaustively by signature.  So are large ones whose members are alike
+(copies of each other, which no token parts), but in blocks: first a few leaders meet every block; the members that the
+leaders join into one component need no comparison among themselves; only the rest meets all blocks.  A task writes a
+spanning forest of what it found, never all pairs.  With similarity s a tree finds a pair with probability of about s;
+``trees`` independent ones leave 1 - (1 - s) ** trees.
+
+The components of these likely pairs are the classes to confirm: their full sets meet in the same way, pairs already
+joined are skipped, and the others' intersections are counted exactly (sets that share none of the tokens that a pair at
+the similarity must share are passed over without loss).  Components of the confirmed links are the result.  Components
+are found by contraction: every class joins its neighbour of least random rank, round after round.
+
+Keys that hold more than a 2000th of all rows (so fewer than 2000 of them) are joined by broadcast, the others by
+shuffle.  A group of m sets of which r are not joined by leaders takes m + r * m / block rows.
 
 Null or wordless text: an empty set, linked with nothing.  Fewer than five words: the whole sequence is the one shingle.
-Rows without an id are kept and linked with nothing.  Repeated rows of an id: each row is returned, with the class of
-the smallest set of that id.  Empty table: empty result.  Other columns of the input are left alone.
+Ids of any type that has an order.  Rows without an id are kept and linked with nothing.  Rows that repeat an id each
+have their own set and its class; an id does not link its rows.  Very long texts: a set must fit into a task.  Ties: of
+equal rows any survives, of rows equal in id and text the one whose other columns hash lowest.  Empty table: empty
+result.  Other columns of the input are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import comb
 
 import numpy as np
@@ -27,12 +35,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import col, cut
+from .common import col, cut, joined_by
 
 #: Tokens of a signature; of pairs just at the similarity at most this share may agree in too few of them to be likely.
 TOKENS, MISSED = 32, 4e-6
+#: Members of a large group, on average, that meet all its blocks first.
+LEADERS = 32
 #: A large node is compared in blocks, not branched, if two of its members share a token with this chance.
 COHERENT = 0.4
 #: Words that are hashed at once.
@@ -78,7 +87,7 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, n, a, b (a hash of the set) and sig (its signature), one row for each row of docs."""
+    """doc_id, t (a hash of the text), n, a, b (a hash of the set) and sig (its signature), one row for each row of docs."""
     kind = "struct<n:int,a:bigint,b:bigint,sig:binary>"
 
     @F.arrow_udf(kind)
@@ -92,19 +101,19 @@ def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             sig.append(signature(s).tobytes() if len(s) else None)
         return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary())], ["n", "a", "b", "sig"])
 
-    return docs.select(col(id_col).alias("doc_id"), summed(col(text_col).cast("binary")).alias("s")).select("doc_id", "s.n", "s.a", "s.b", "s.sig")
+    found = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("t"), summed(col(text_col).cast("binary")).alias("s"))
+    return found.select("doc_id", "t", "s.n", "s.a", "s.b", "s.sig")
 
 
 class Joined:
-    """Components of the members of one node or block pair."""
+    """Components of the members of one group; each is named by its first member."""
 
     def __init__(self, n: int):
         self.of = np.arange(n)
 
-    def join(self, i: int, j: int) -> None:
-        a, b = self.of[i], self.of[j]
-        if a != b:
-            self.of[self.of == max(a, b)] = min(a, b)
+    def join(self, members: np.ndarray) -> None:
+        if len(members) > 1 and len(names := np.unique(self.of[members])) > 1:
+            self.of[np.isin(self.of, names)] = names[0]
 
     def links(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each member of a component and its first."""
@@ -123,10 +132,65 @@ def agreeing(percent: int) -> int:
     return TOKENS
 
 
-def likely(sigs: np.ndarray, sizes: np.ndarray, i: int, among: slice, percent: int) -> np.ndarray:
-    """Which members of a slice may reach the similarity with member i."""
-    same = (sigs[among] == sigs[i]).sum(axis=1) >= agreeing(percent)
-    return same & (100 * np.minimum(sizes[among], sizes[i]) >= percent * np.maximum(sizes[among], sizes[i]))
+class Signatures:
+    """Members of a group by signature: linked if enough tokens agree and the sizes allow the similarity."""
+
+    AT_ONCE = 1 << 30
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.sizes, self.percent, self.agreeing = t.column("n").to_numpy().astype(np.int64), percent, agreeing(percent)
+        self.sigs = np.frombuffer(b"".join(t.column("data").to_pylist()), np.uint32).reshape(-1, TOKENS)
+
+    def candidates(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of among that may be linked with member i."""
+        small, large = np.minimum(self.sizes[among], self.sizes[i]), np.maximum(self.sizes[among], self.sizes[i])
+        among = among[100 * small >= self.percent * large]
+        return among[(self.sigs[among] == self.sigs[i]).sum(axis=1) >= self.agreeing]
+
+    def linked(self, i: int, among: np.ndarray) -> np.ndarray:
+        return np.ones(len(among), bool)
+
+
+class Sets:
+    """Members of a group by full set.
+
+    In the common order of hashes, two sets that reach the similarity share one of the first n - ceil(n * percent / 100)
+    + 1 items of each; only such pairs are counted.
+    """
+
+    AT_ONCE = 64
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.percent = percent
+        self.held = [np.frombuffer(x, np.uint64) for x in t.column("data").to_pylist()]
+        self.sizes = np.array([len(x) for x in self.held], np.int64)
+        first = [x[: len(x) + (-percent * len(x) // 100) + 1] for x in self.held]
+        items, owner = np.concatenate(first), np.repeat(np.arange(len(first)), [len(x) for x in first])
+        order = np.argsort(items, kind="stable")
+        self.first, self.items, self.owner = first, items[order], owner[order]
+
+    def candidates(self, i: int, among: np.ndarray) -> np.ndarray:
+        begin, end = (np.searchsorted(self.items, self.first[i], side) for side in ("left", "right"))
+        meets = np.zeros(len(self.held), bool)
+        for a, b in zip(begin, end, strict=True):
+            meets[self.owner[a:b]] = True
+        among = among[meets[among]]
+        return among[100 * np.minimum(self.sizes[among], self.sizes[i]) >= self.percent * np.maximum(self.sizes[among], self.sizes[i])]
+
+    def linked(self, i: int, among: np.ndarray) -> np.ndarray:
+        items = np.concatenate([self.held[j] for j in among])
+        at = np.minimum(np.searchsorted(self.held[i], items), len(self.held[i]) - 1)
+        starts = np.cumsum([0, *self.sizes[among[:-1]]])
+        common = np.add.reduceat(self.held[i][at] == items, starts, dtype=np.int64)
+        return 100 * common >= self.percent * (self.sizes[i] + self.sizes[among] - common)
+
+
+def meet(of: Signatures | Sets, joined: Joined, i: int, among: np.ndarray) -> None:
+    """Join member i with those that it is linked with; pairs that are joined already are skipped."""
+    among = of.candidates(i, among[joined.of[among] != joined.of[i]])
+    while len(among := among[joined.of[among] != joined.of[i]]):
+        now, among = among[: of.AT_ONCE], among[of.AT_ONCE :]
+        joined.join(np.append(now[of.linked(i, now)], i))
 
 
 def by_group(frames: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
@@ -148,103 +212,139 @@ def by_group(frames: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def pairs_of(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
-
+def found_by(kind: type, percent: int, group: list[str], rows: DataFrame, run) -> DataFrame:
+    """u, v: a forest of the links that run(members, joined, table) makes within each group."""
 
-def _signatures(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, TOKENS)
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(frames, group):
+            joined = Joined(len(t))
+            run(kind(t, percent), joined, t)
+            ids = t.column("rep").to_numpy()
+            u, v = joined.links(ids)
+            if (apart := u != v).any():
+                yield pa.RecordBatch.from_arrays([pa.array(u[apart], pa.int64()), pa.array(v[apart], pa.int64())], ["u", "v"])
 
+    return rows.mapInArrow(task, "u long, v long")
 
-def compare_nodes(rows: DataFrame, group: list[str], percent: int) -> DataFrame:
-    """u, v: likely pairs within each node (a forest); with blocks i and j, only across them unless i = j."""
-    blocked = "i" in group
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, n = [], [], 0
-        for t in by_group(frames, group):
-            ids, sizes, sigs = t.column("rep").to_numpy(), t.column("n").to_numpy(), _signatures(t)
-            joined, first = Joined(len(ids)), len(ids)
-            if blocked and t.column("i")[0] != t.column("j")[0]:
-                first = int((t.column("own").to_numpy() == t.column("i")[0].as_py()).sum())
-            for i in range(min(first, len(ids) - 1)):
-                start = i + 1 if first == len(ids) else first
-                may = likely(sigs, sizes, i, slice(start, None), percent) & (joined.of[start:] != joined.of[i])
-                for j in np.flatnonzero(may):
-                    joined.join(i, start + j)
-            a, b = joined.links(ids)
-            left.append(a)
-            right.append(b)
-            n += len(a)
-            if n > 100_000:
-                yield pairs_of(np.concatenate(left), np.concatenate(right))
-                left, right, n = [], [], 0
-        if left:
-            yield pairs_of(np.concatenate(left), np.concatenate(right))
-
-    return rows.mapInArrow(run, "u long, v long")
-
-
-def in_blocks(members: DataFrame, group: str, blocks: Column) -> DataFrame:
-    """Each member once for each pair of blocks i <= j of its group that it is in; own is its block."""
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other)
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
-
-
-def sorted_groups(rows: DataFrame, group: list[str], *within: str) -> DataFrame:
+def sorted_groups(rows: DataFrame, group: list[str], *within) -> DataFrame:
     return rows.repartition(*group).sortWithinPartitions(*group, *within)
 
 
+def whole(rows: DataFrame, kind: type, percent: int, group: str) -> DataFrame:
+    """u, v: links within groups that one task compares exhaustively."""
+
+    def run(of: Signatures | Sets, joined: Joined, t: pa.Table) -> None:
+        for i in range(len(t) - 1):
+            meet(of, joined, i, np.arange(i + 1, len(t)))
+
+    return found_by(kind, percent, [group], sorted_groups(rows, [group], "rep"), run)
+
+
+def in_blocks(rows: DataFrame, kind: type, percent: int, group: str, block: int, block_items: int) -> list[DataFrame]:
+    """u, v: links within large groups (group, rep, n, data, members, items of the group), in blocks of bounded size."""
+    number = lambda members, items: F.ceil(F.greatest(F.col(members) / block, F.col(items) / block_items)).cast("long")
+    deal = lambda count: F.pmod(F.xxhash64("rep"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    rows = rows.withColumn("blocks", number("members", "items"))
+    leaders = F.least(F.lit(float(LEADERS)), F.greatest(F.lit(4.0), F.lit(float(block_items)) * F.col("members") / F.col("items")))
+    leads = rows.where(F.pmod(F.xxhash64(F.lit("leader"), "rep"), F.col("members")) < leaders)
+    first = rows.select(group, "rep", "n", "data", deal("blocks").alias("block"), F.lit(0).alias("role"))
+    first = first.unionByName(leads.select(group, "rep", "n", "data", every("blocks").alias("block"), F.lit(1).alias("role")))
+    keys = [group, "block"]
+
+    def lead(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(frames, keys):
+            of, joined, ids = kind(t, percent), Joined(len(t)), t.column("rep").to_numpy()
+            leading = int(t.column("role").to_numpy().sum())
+            for i in range(leading):
+                meet(of, joined, i, np.arange(i + 1, len(t)))
+            led = joined.of < leading
+            yield pa.RecordBatch.from_arrays([pa.array(t.column(group).to_numpy()), pa.array(ids), pa.array(ids[joined.of], mask=~led), pa.array(np.arange(len(t)) >= leading)], [group, "u", "v", "member"])
+
+    met = cut(sorted_groups(first, keys, F.desc("role"), "rep").mapInArrow(lead, f"`{group}` long, u long, v long, member boolean"))
+    members = met.where("member")
+    size = rows.select(group, "members").distinct()
+    most = members.where("v is not null").groupBy(group, "v").agg(F.count("*").alias("c")).groupBy(group).agg(F.max_by("v", F.struct("c", "v")).alias("settled"))
+    most = cut(size.join(most, group, "left").select(F.col(group).alias("_g"), "members", "settled"))
+    members = joined_by(members.withColumnRenamed(group, "_g"), most, ["_g"], "members")
+    rest = cut(members.where("v is null or v <> settled").select("_g", F.col("u").alias("rep"), F.lit(True).alias("apart")))
+    left = rest.groupBy("_g").agg(F.count("*").alias("rest"))
+    out = [met.where("v is not null and u <> v").select("u", "v")]
+    if rest.isEmpty():
+        return out
+    left = cut(left.join(size.withColumnRenamed(group, "_g"), "_g"))
+    rows = joined_by(rows.drop("members").withColumn("_g", F.col(group)), left, ["_g"], "members").join(rest, ["_g", "rep"], "left")
+    # a group's sets are of about one size, so its rest has its share of the items
+    rows = cut(rows.withColumn("rests", F.ceil(F.col("blocks") * F.col("rest") / F.col("members")).cast("long")).select(group, "rep", "n", "data", "blocks", "rests", F.coalesce("apart", F.lit(False)).alias("apart")))
+    second = rows.select(group, "rep", "n", "data", "apart", deal("blocks").alias("block"), every("rests").alias("other"), F.lit(0).alias("role"))
+    asked = rows.where("apart").select(group, "rep", "n", "data", "apart", deal("rests").alias("other"), "blocks").select(group, "rep", "n", "data", "apart", every("blocks").alias("block"), "other", F.lit(1).alias("role"))
+
+    def ask(of: Signatures | Sets, joined: Joined, t: pa.Table) -> None:
+        asking = int(t.column("role").to_numpy().sum())
+        joined.join(np.flatnonzero(~t.column("apart").to_numpy(zero_copy_only=False)))
+        for i in range(asking):
+            meet(of, joined, i, np.arange(asking, len(t)))
+
+    keys = [group, "block", "other"]
+    out.append(found_by(kind, percent, keys, sorted_groups(second.unionByName(asked), keys, F.desc("role"), "rep"), ask))
+    return out
+
+
 def token(sig: Column, k: Column) -> Column:
     """The k-th token of a signature, as four bytes."""
     return F.substring(sig, k * 4 + 1, F.lit(4)) if isinstance(k, Column) else F.substring(sig, k * 4 + 1, 4)
 
 
 def chosen_paths(reps: DataFrame, trees: int, leaf: int, depth: int, block: int, percent: int) -> DataFrame:
-    """u, v: likely pairs of reps (rep, n, sig), each linked to the first of its node."""
+    """u, v: likely pairs of reps (rep, n, sig), as forests."""
     roots = [F.xxhash64(F.lit(t), token(F.col("sig"), F.lit(t % TOKENS))) for t in range(trees)]
-    level = reps.select("rep", "n", "sig", F.explode(F.array(*roots)).alias("node"))
+    level = reps.select("rep", "n", F.col("sig").alias("data"), F.explode(F.array(*roots)).alias("node"))
     found = []
     for d in range(depth + 1):
-        counts = level.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-        level = cut(level.join(counts, "node"))
-        small = level.where(F.col("members") <= leaf)
-        found.append(compare_nodes(sorted_groups(small, ["node"], "rep"), ["node"], percent))
+        counts = cut(level.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1))
+        level = cut(joined_by(level, counts, ["node"], "members"))
+        found.append(whole(level.where(F.col("members") <= leaf), Signatures, percent, "node"))
         level = level.where(F.col("members") > leaf)
         if level.isEmpty():
             break
         picks = [F.pmod(F.xxhash64("node", F.lit(d), F.lit(b)), F.lit(TOKENS)).cast("int") for b in range(2)]
-        children = F.array(*[F.xxhash64("node", F.lit(b), token(F.col("sig"), p)) for b, p in enumerate(picks)])
+        children = F.array(*[F.xxhash64("node", F.lit(b), token(F.col("data"), p)) for b, p in enumerate(picks)])
         # the chance that two members share a child: where it is high, further levels would only repeat the node
         sizes = level.select("node", "members", F.explode(children).alias("child")).groupBy("node", "members", "child").agg(F.count("*").alias("c"))
         alike = F.sum(F.col("c") * F.col("c")) / (len(picks) * F.max(F.col("members") * F.col("members")))
-        level = cut(level.join(sizes.groupBy("node").agg(alike.alias("alike")), "node"))
-        stays = (F.col("alike") >= COHERENT) | F.lit(d == depth)
-        dealt = in_blocks(level.where(stays), "node", F.ceil(F.col("members") / block).cast("long"))
-        group = ["node", "i", "j"]
-        found.append(compare_nodes(sorted_groups(dealt, group, "own", "rep"), group, percent))
-        level = level.where(~stays).select("rep", "n", "sig", F.explode(children).alias("node"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return links.distinct()
+        stays = F.coalesce((alike >= COHERENT) | F.lit(d == depth), F.lit(True))
+        nodes = cut(sizes.groupBy("node", "members").agg(stays.alias("stays")))
+        level = cut(joined_by(level.drop("members"), nodes, ["node"], "members"))
+        found.append(whole(level.where(F.col("stays") & (F.col("members") <= block)), Signatures, percent, "node"))
+        large = level.where(F.col("stays") & (F.col("members") > block)).withColumn("items", F.col("members"))
+        if not large.isEmpty():
+            found += in_blocks(large, Signatures, percent, "node", block, block)
+        level = level.where(~F.col("stays")).select("rep", "n", "data", F.explode(children).alias("node"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """rep, comp (the smallest rep it is connected to, itself included) of each end of a link."""
     ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     edges = cut(links.select(ranked("u").alias("u"), ranked("v").alias("v")))
-    label = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct().select("x", F.col("x").alias("to"))
+    steps = []
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.*")
-        parent = cut(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("c"), F.least("x", "y").alias("p")))
-        up = lambda df, c: df.join(parent, F.col(c) == F.col("c"), "left").withColumn(c, F.coalesce("p", c)).drop("c", "p")
-        label = up(label, "to")
-        edges = cut(up(up(edges, "u"), "v").where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    least = label.groupBy("to").agg(F.min("x.id").alias("comp"))
-    return label.join(least, "to").select(F.col("x.id").alias("rep"), "comp")
+        parent = cut(both.groupBy("x").agg(F.min("y").alias("y"), F.count("*").alias("copies")).select(F.col("x").alias("c"), F.least("x", "y").alias("p"), "copies"))
+        steps.append(parent)
+        up = lambda df, c: joined_by(df.withColumnRenamed(c, "c"), parent, ["c"], "copies").withColumnRenamed("p", c).drop("c", "copies")
+        edges = cut(up(up(edges, "u"), "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if not steps:
+        return links.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
+    # from the last step back: what each class of a step ended in
+    ends = steps[-1].select("c", "p")
+    for step in reversed(steps[:-1]):
+        to = step.groupBy("p").agg(F.count("*").alias("copies")).join(ends.select(F.col("c").alias("q"), F.col("p").alias("end")), F.col("p") == F.col("q"), "left")
+        to = cut(to.select("p", "copies", F.coalesce("end", "p").alias("end")))
+        ends = cut(joined_by(step.select("c", "p"), to, ["p"], "copies").select("c", F.col("end").alias("p")))
+    least = cut(ends.groupBy("p").agg(F.min("c.id").alias("comp"), F.count("*").alias("copies")))
+    return joined_by(ends, least, ["p"], "copies").select(F.col("c.id").alias("rep"), "comp")
 
 
 #: Bits of the filter that spares texts outside the likely classes the exchange; its size does not grow.
@@ -252,9 +352,9 @@ BITS = 1 << 25
 
 
 def might_be(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id may be a member's: all of those, and a few others (more, the more members there are)."""
-    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(BITS))
-    at = members.select((place(F.col("rep")) + 1).alias("x"))
+    """The rows of docs whose id may be a member's (first_id): all of those, and a few others (more, the more members there are)."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    at = members.select((place(F.col("first_id")) + 1).alias("x"))
     maps = at.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("map")).collect()
     bits = np.zeros(BITS, bool)
     for r in maps:
@@ -272,72 +372,60 @@ def might_be(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
 
 
 def confirm(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, percent: int, block: int, block_items: int) -> DataFrame:
-    """u, v: links of members (rep, comp, n, sig) whose full sets reach the similarity, as a forest of each block pair."""
-    total = members.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("items"))
-    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("items") / block_items)).cast("long")
-    texts = might_be(docs, members, id_col).select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
+    """u, v: links of members (rep, comp, n, a, b, first_id, first_t) whose full sets reach the similarity, as forests."""
+    total = cut(members.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("items")))
+    members = joined_by(members, total, ["comp"], "members")
+    texts = might_be(docs, members, id_col).select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("t"), col(text_col).cast("binary").alias("text"))
+    # copies of a row meet before the exchange
+    texts = texts.groupBy("id", "t").agg(F.any_value("text").alias("text"))
 
     @F.arrow_udf("binary")
-    def full(column: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        """The set, where it is the one that the two hashes tell of."""
-        out = []
-        for x, p, q in zip(column, a, b, strict=True):
-            s = shingles(x.as_py(), size)
-            out.append(s.tobytes() if hashes(s) == (p.as_py(), q.as_py()) else None)
-        return pa.array(out, pa.binary())
+    def full(column: pa.Array) -> pa.Array:
+        return pa.array([shingles(x.as_py(), size).tobytes() for x in column], pa.binary())
 
-    held = members.join(texts, F.col("rep") == F.col("id")).withColumn("items_of", full("text", "a", "b")).where("items_of is not null")
-    # repeated rows of an id hold the same set now; one is enough
-    held = held.select("rep", "comp", "n", "sig", "items_of").dropDuplicates(["rep"]).join(total, "comp")
-    group = ["comp", "i", "j"]
-    dealt = sorted_groups(in_blocks(held, "comp", blocks), group, "own", "rep")
+    held = members.join(texts, (F.col("first_id") == F.col("id")) & (F.col("first_t") == F.col("t")))
+    held = cut(held.select("rep", "comp", "n", "members", "items", full("text").alias("data")))
+    one = (F.col("members") <= block) & (F.col("items") <= block_items)
+    found = whole(held.where(one), Sets, percent, "comp")
+    large = held.where(~one)
+    return reduce(DataFrame.unionByName, [found] if large.isEmpty() else [found, *in_blocks(large, Sets, percent, "comp", block, block_items)])
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(frames, group):
-            ids, sizes, sigs = t.column("rep").to_numpy(), t.column("n").to_numpy().astype(np.int64), _signatures(t)
-            held = [np.frombuffer(x, np.uint64) for x in t.column("items_of").to_pylist()]
-            joined, first = Joined(len(ids)), len(ids)
-            if t.column("i")[0] != t.column("j")[0]:
-                first = int((t.column("own").to_numpy() == t.column("i")[0].as_py()).sum())
-            for i in range(min(first, len(ids) - 1)):
-                start = i + 1 if first == len(ids) else first
-                may = np.flatnonzero(likely(sigs, sizes, i, slice(start, None), percent)) + start
-                while len(may := may[joined.of[may] != joined.of[i]]):
-                    # exact counts of a few at a time, so that those joined meanwhile are skipped
-                    now, may = may[:64], may[64:]
-                    items = np.concatenate([held[j] for j in now])
-                    at = np.minimum(np.searchsorted(held[i], items), len(held[i]) - 1)
-                    common = np.add.reduceat(held[i][at] == items, np.cumsum([0, *(len(held[j]) for j in now[:-1])]), dtype=np.int64)
-                    for j in now[100 * common >= percent * (sizes[i] + sizes[now] - common)]:
-                        joined.join(i, j)
-            a, b = joined.links(ids)
-            if len(a):
-                yield pairs_of(a, b)
-
-    return dealt.mapInArrow(run, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 8, leaf: int = 256, depth: int = 5, block: int = 512, block_items: int = 1_000_000, node_block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+
+def classed(docs: DataFrame, percent: int, size: int, trees: int, leaf: int, depth: int, block: int, block_items: int, node_block: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t, n_shingles, component_id, kept, and stays (kept, and of texts that share this id the one with the least hash)."""
     rows = cut(sets(docs, id_col, text_col, size))
     named = rows.where("doc_id is not null and n > 0")
-    one = named.groupBy("doc_id").agg(F.min(F.struct("n", "a", "b", "sig")).alias("s")).select("doc_id", "s.*")
-    reps = cut(one.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    found = cut(components(chosen_paths(reps, trees, leaf, depth, node_block, percent)))
-    members = cut(reps.join(found, "rep"))
+    first = F.min(F.struct("doc_id", "t"))
+    reps = named.groupBy("n", "a", "b").agg(first.alias("f"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    reps = cut(reps.select("n", "a", "b", F.col("f.doc_id").alias("first_id"), F.col("f.t").alias("first_t"), "sig", "copies", F.monotonically_increasing_id().alias("rep")))
+    found = components(chosen_paths(reps, trees, leaf, depth, node_block, percent))
+    members = cut(reps.select("rep", "n", "first_id", "first_t").join(found, "rep"))
     links = cut(confirm(docs, members, id_col, text_col, size, percent, block, block_items).distinct())
-    confirmed = cut(components(links))
-    classes = reps.join(confirmed, "rep", "left").select("n", "a", "b", F.coalesce("comp", "rep").alias("comp"))
-    labelled = one.join(classes, ["n", "a", "b"]).select(F.col("doc_id").alias("id"), "comp")
-    out = rows.join(labelled, F.col("doc_id") == F.col("id"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    confirmed = cut(reps.select("rep", "n", "a", "b", "first_id", "first_t", "copies").join(components(links), "rep"))
+    least = cut(confirmed.groupBy("comp").agg(F.min(F.struct("first_id", "first_t")).alias("least"), F.count("*").alias("sets")))
+    linked = joined_by(confirmed, least, ["comp"], "sets").select("n", "a", "b", "least.*", "copies")
+    alone = reps.join(confirmed.select("rep"), "rep", "left_anti").where("copies > 1").select("n", "a", "b", "first_id", "first_t", "copies")
+    classes = cut(linked.toDF(*alone.columns).unionByName(alone))
+    with_set = (F.col("doc_id").isNotNull()) & (F.col("n") > 0)
+    none = rows.where(~with_set).select("doc_id", "t", "n", F.col("doc_id").alias("first_id"), F.lit(None).cast("long").alias("first_t"))
+    out = joined_by(rows.where(with_set), classes, ["n", "a", "b"], "copies", "left").select(*none.columns).unionByName(none)
+    own = F.coalesce("first_id", "doc_id").eqNullSafe(F.col("doc_id"))
+    return out.select("doc_id", "t", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first_id", "doc_id").alias("component_id"), own.alias("kept"), (own & (F.coalesce("first_t", "t") == F.col("t"))).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 10, leaf: int = 256, depth: int = 5, block: int = 512, block_items: int = 1_000_000, node_block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    return classed(docs, percent, size, trees, leaf, depth, block, block_items, node_block, id_col, text_col).drop("t", "stays")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 10, leaf: int = 256, depth: int = 5, block: int = 512, block_items: int = 1_000_000, node_block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those of other ids' classes and without repeats of a row's id and text."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(id_col).alias("id")).join(gone, F.col("id") == F.col("gone_id"), "left_anti")
-    # rows without an id are told apart, whatever they hold
-    same = Window.partitionBy("id", F.xxhash64(F.col("row").getField(text_col)), "apart").orderBy(F.lit(0))
-    rows = rows.withColumn("apart", F.when(F.col("id").isNull(), F.monotonically_increasing_id())).withColumn("n", F.row_number().over(same))
-    return rows.where("n = 1").select("row.*")
+    found = classed(docs, percent, size, trees, leaf, depth, block, block_items, node_block, id_col, text_col)
+    found = found.where("doc_id is not null").groupBy("doc_id", "t").agg(F.count("*").alias("copies"), F.bool_and("stays").alias("stays"))
+    found = cut(found.where("copies > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "copies", "stays"))
+    rows = docs.where(col(id_col).isNotNull()).select(F.struct(*map(col, docs.columns)).alias("row"), col(id_col).alias("_id"), F.xxhash64(col(text_col)).alias("_t"))
+    rows = joined_by(rows, found, ["_id", "_t"], "copies", "left")
+    # most rows stand alone; of a repeated one the copies meet before the exchange
+    order = F.xxhash64(F.lit(0), *[F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind])
+    once = rows.where("stays").groupBy("_id", "_t").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return docs.where(col(id_col).isNull()).unionByName(rows.where("stays is null").select("row.*")).unionByName(once)

@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quadriver.llm import chat, langid, mixing, neardup, pieces, pii, quality, secrets, sharding, vafile
+from quadriver.llm import chat, common, langid, mixing, neardup, pieces, pii, quality, secrets, sharding, vafile
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -302,8 +302,12 @@ def plain_classes(data):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("limits", [{}, {"leaf": 4, "depth": 2, "node_block": 5, "block": 3}, {"leaf": 2, "depth": 3, "block_items": 500}])
-def test_near_duplicates(docs, texts, limits):
+@pytest.mark.parametrize(("limits", "small"), [({}, 10**5), ({"leaf": 4, "depth": 2, "node_block": 5, "block": 3}, 0), ({"leaf": 2, "depth": 3, "block_items": 500}, 0)])
+def test_near_duplicates(docs, texts, limits, small, monkeypatch):
+    # no table is small, some keys are hot
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    monkeypatch.setattr(common, "HOT", 10)
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
     got = neardup.near_duplicates(docs, **limits).collect()
     want = plain_classes([(r[0], r[1]) for r in texts])
     assert len(got) == len(texts)
@@ -319,6 +323,22 @@ def test_near_duplicates_of_nothing(none, docs):
     assert neardup.near_duplicates(docs.where("text is null or doc_id in (151, 152)")).where("kept").count() == 4
 
 
+def test_near_duplicates_where_ids_repeat(spark):
+    rng = random.Random(9)
+    a, b, c = ([f"w{rng.randrange(10**9)}" for _ in range(120)] for _ in range(3))
+    near = [*a[:119], "x"]
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, near), (8, c), (8, [*c[:119], "y"]), (None, a), (None, a), (9, [])]
+    df = spark.createDataFrame([(i, " ".join(w), n) for n, (i, w) in enumerate(rows)], "doc_id int, text string, n int")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()), key=repr)
+    want = [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 1, False), (8, 8, True), (8, 8, True), (None, None, True), (None, None, True), (9, 9, True)]
+    assert got == sorted(want, key=repr)
+    left = neardup.drop_near_duplicates(df).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text == " ".join(b)) for r in left))) == sorted(map(repr, [(1, False), (5, True), (8, False), (None, False), (None, False), (9, False)]))
+    assert sorted(r.n for r in left) == sorted(r.n for r in neardup.drop_near_duplicates(df.repartition(5)).collect())
+    named = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(named).collect()} == {(i and str(i), k and str(k)) for i, k, _ in want}
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from quadriver.llm import neardup, pieces
@@ -53,4 +54,5 @@ def test_signatures_agree_enough():
     assert [neardup.agreeing(p) for p in (80, 85, 100)] == [14, 17, 32]
     sigs = np.zeros((2, neardup.TOKENS), np.uint32)
     sigs[1, 15:] = 1
-    assert [neardup.likely(sigs, np.array([150, 150]), 0, slice(1, None), p).tolist() for p in (80, 85)] == [[True], [False]]
+    t = pa.table({"n": [150, 150], "data": [x.tobytes() for x in sigs]})
+    assert [len(neardup.Signatures(t, p).candidates(0, np.array([1]))) for p in (80, 85)] == [1, 0]
