@@ -443,6 +443,35 @@ def test_mixed_rows(docs, none, texts):
     assert mixing.mixed_rows(none).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 5])
+def test_mixed_rows_of_repeated_rows(spark, copies):
+    for seed in range(1):
+        rng = random.Random(10 * copies + seed)
+        rows = [(i, " ".join(f"w{k}" for k in range(rng.randrange(1, 9))), rng.choice(["a", "b", None]), 0) for i in range(6)] * copies
+        rows += [(None, "x y z", "a", 0)] * copies + [(1, rows[1][1], rows[1][2], n) for n in range(copies)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+        want = collections.Counter()
+        for r in mixing.mix(df, seed=str(seed)).collect():
+            want[r.doc_id, r.size] += r.taken
+        got = collections.Counter()
+        size = {i: len(t.split()) for i, t, *_ in rows}
+        for r in mixing.mixed_rows(df, seed=str(seed)).collect():
+            got[r.doc_id, size[r.doc_id]] += len(r.text.split())
+        assert +got == +want
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    monkeypatch.setattr(mixing, "RANGES", 2)
+    df = spark.createDataFrame([(i, "w " * (i % 7), f"s{i % 97}" if i % 98 else None) for i in range(900)], "doc_id long, text string, source string")
+    ranks = {r.source: r.rank for r in mixing.ranked(df.select("source").distinct(), "source").collect()}
+    assert [s for s, _ in sorted(ranks.items(), key=lambda x: x[1])] == [*sorted(s for s in ranks if s), None] and sorted(ranks.values()) == list(range(1, len(ranks) + 1))
+    got = mixing.mix(df).collect()
+    for s in ranks:
+        mine = [r for r in got if (r.doc_id % 98 and f"s{r.doc_id % 97}" or None) == s]
+        assert sum(r.taken for r in mine) == round(mine[0].target)
+
+
 def test_first_words(spark):
     df = spark.createDataFrame([("  a b\n c  d ", 2), ("a", 1), ("a  b", 5), ("x y", 1)], "t string, n int")
     assert [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()] == ["a b", "a", "a  b", "x"]
