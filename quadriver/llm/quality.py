@@ -146,7 +146,6 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
 
 
 def keep_good(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 200, reach: int = 4, **columns: str) -> DataFrame:
-    """The rows of docs that quality_rules() keeps.  Texts are measured again rather than moved to their verdicts."""
-    base = failed(min_words, max_repeat_percent)
-    limits = thresholds(cut(measured(docs, **columns).withColumn("base_failed", base)), min_docs, reach)
-    return judged(measured(docs, carry=True, **columns).withColumn("base_failed", base), limits).where("kept").select("row.*")
+    """The rows of docs that quality_rules() keeps.  Rows are stored with their measures, so each text is measured once."""
+    counts = cut(measured(docs, carry=True, **columns).withColumn("base_failed", failed(min_words, max_repeat_percent)))
+    return judged(counts, thresholds(counts, min_docs, reach)).where("kept").select("row.*")
