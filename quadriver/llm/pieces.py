@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -30,37 +31,55 @@ from .common import col
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of the words, and a quarter of the pairs of pieces, that a worker remembers.
-KNOWN = 5_000_000
+#: Characters of a generation's words, and half the pairs of pieces, that a worker remembers.
+KNOWN = 2_500_000
 RADIX = 1 << 22
 
 
 class Pieces:
-    def __init__(self, ids: dict[str, int], scores: dict[str, float], bytes_: dict[int, int], unigram: bool = False, unknown: int = 0):
-        """ids and scores of the ordinary pieces; ids of the bytes (none: characters without a piece are unknown)."""
+    def __init__(self, ids: dict[str, int], scores: dict[str, float], bytes_: dict[int, int], unigram: bool = False, unknown: int = 0, even: Callable[[str], str] = str):
+        """ids and scores of the ordinary pieces; ids of the bytes (none: characters without a piece are unknown); even rewrites a text first."""
+        self.even = even
         self.ids, self.scores, self.bytes, self.unigram, self.unknown = ids, scores, bytes_, unigram, unknown
         #: pieces by number, and as a trie of their characters from the last to the first
         self.numbers, self.names, self.back = {"": 0}, [""], {}
         for p in sorted(ids):
             self.number(p)
         self.least = min(scores.values(), default=0.0) - 10.0
+        #: words of this generation and of the one before it; what is not met again in a generation is forgotten
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
+        #: known words that do not decode to themselves
+        self.lossy: set[str] = set()
         self.pairs: dict[int, bool] = {}
         # characters that no longer piece holds never join a neighbour
         held = set(chain.from_iterable(p for p in ids if len(p) > 1))
         alone = "".join(c for c in "\n\t\r" if c not in held)
         self.split = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
+        if any(MARK in p.lstrip(MARK) for p in ids):  # pieces of several words: a text is one word
+            self.split = re.compile(r"[\s\S]+")
 
     @classmethod
     def load(cls, path: str) -> Pieces:
+        """A model file of either kind; what it rewrites in texts beforehand is left to the library's normaliser."""
         import sentencepiece
-
+        from sentencepiece import sentencepiece_model_pb2
+
+        with open(path, "rb") as f:
+            spec = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+        kind = spec.trainer_spec.ModelType.Name(spec.trainer_spec.model_type)
+        if kind not in ("UNIGRAM", "BPE"):
+            raise ValueError(f"pieces of kind {kind} are not supported")
+        if not spec.normalizer_spec.add_dummy_prefix or not spec.normalizer_spec.escape_whitespaces or spec.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models that mark the beginnings of words are supported")
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         n = range(m.get_piece_size())
         plain = [i for i in n if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         found = {m.id_to_piece(i): i for i in plain}
-        return cls(found, {p: m.get_score(i) for p, i in found.items()}, {int(m.id_to_piece(i)[3:5], 16): i for i in n if m.is_byte(i)}, unknown=m.unk_id())
+        as_it_is = not spec.normalizer_spec.precompiled_charsmap and not spec.normalizer_spec.remove_extra_whitespaces
+        even = str if as_it_is else lambda t: m.normalize(t).removeprefix(MARK).replace(MARK, " ")
+        return cls(found, {p: m.get_score(i) for p, i in found.items()}, {int(m.id_to_piece(i)[3:5], 16): i for i in n if m.is_byte(i)}, kind == "UNIGRAM", m.unk_id(), even)
 
     def number(self, piece: str) -> int:
         """Own number of a piece; characters without a piece get one when they are met."""
@@ -76,7 +95,7 @@ class Pieces:
     def compatible(self, key: int) -> bool:
         """Whether two pieces, the first possibly empty, encode to themselves."""
         a, b = map(self.names.__getitem__, divmod(key, RADIX))
-        if len(self.pairs) > KNOWN // 4:
+        if len(self.pairs) > KNOWN // 2:
             self.pairs.clear()
         found = self.pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
         return found
@@ -90,11 +109,15 @@ class Pieces:
                 found.append(p)
         return found
 
-    def best(self, word: str, i: int, states: list[int], scores: list[float]) -> int:
-        """Viterbi: the last piece of the best path to word[:i]."""
-        score, piece = max((scores[i - len(self.names[p])] + self.scores.get(self.names[p], self.least), -p) for p in self.ending(word, i))
+    def best(self, word: str, i: int, states: list[int], scores: list[np.float32]) -> int:
+        """Viterbi: the last piece of the best path to word[:i]; of equal scores, summed in single precision as by the library, the longest."""
+        score, piece = None, 0
+        for p in reversed(self.ending(word, i)):
+            x = scores[i - len(self.names[p])] + np.float32(self.scores.get(self.names[p], self.least))
+            if score is None or x > score:
+                score, piece = x, p
         scores.append(score)
-        return -piece
+        return piece
 
     def learn(self, words: set[str]) -> None:
         """Encode new words, as a depth-first walk of their trie; a state is the number of the last piece."""
@@ -102,7 +125,7 @@ class Pieces:
         for c in set(chain.from_iterable(words)) - self.numbers.keys():
             self.number(c)
         back, pairs, names = self.back, self.pairs, self.names
-        before, states, scores = "", [0], [0.0]
+        before, states, scores = "", [0], [np.float32(0)]
         for word in sorted(words):
             same = 0
             for a, b in zip(before, word, strict=False):
@@ -136,7 +159,12 @@ class Pieces:
             try:
                 self.known[word] = array("i", [self.ids[p] for p in parts]).tobytes()
             except KeyError:
-                self.known[word] = array("i", chain.from_iterable(map(self.of, parts))).tobytes()
+                ids = array("i", chain.from_iterable(map(self.of, parts)))
+                if not self.bytes:  # a run of unknown characters is one unknown piece
+                    ids = array("i", [x for n, x in enumerate(ids) if x != self.unknown or not n or ids[n - 1] != x])
+                self.known[word] = ids.tobytes()
+                if b"".join(map(self.written.__getitem__, ids)) != word.replace(MARK, " ").encode("utf-8", "surrogatepass"):
+                    self.lossy.add(word)
 
     def merge(self, word: str) -> list[str]:
         """Byte-pair encoding by its definition: join the adjacent pair of the best score, the leftmost of equals."""
@@ -157,16 +185,21 @@ class Pieces:
             return (i,)
         return tuple(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(split))
-        if not new <= self.known.keys():
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether they decode to it: decoding joins what the words decode to."""
+        split = [self.split.findall(MARK + self.even(t).replace(" ", MARK)) if t else [] for t in texts]
+        new = set(chain.from_iterable(split)) - self.known.keys()
+        if new:
             if self.held > KNOWN:
-                self.known.clear()
-                self.held = 0
-            self.learn(new - self.known.keys())
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in split]
+                self.older, self.known, self.held = self.known, {}, 0
+                new = set(chain.from_iterable(split))
+            for w in new & self.older.keys():
+                self.known[w] = self.older[w]
+                self.held += len(w)
+            self.learn(new - self.older.keys())
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in split]
+        same = [self.even is str and (not self.lossy or self.lossy.isdisjoint(words)) for words in split]
+        return ids, same
 
     @property
     def written(self) -> list[bytes]:
@@ -202,9 +235,11 @@ def encoded(text: Column, path: str = MODEL) -> Column:
         model, ids, same = loaded(path), [np.zeros(0, np.int32)], []
         for at in range(0, len(column), GROUP):
             texts = column.slice(at, GROUP).to_pylist()
-            found = model.encode(texts)
+            found, good = model.encode(texts)
             ids += found
-            same += [None if t is None else model.decode(x.tolist()) == t.replace(MARK, " ") for t, x in zip(texts, found, strict=True)]
+            if model.even is not str:  # the model rewrites texts first
+                good = [t is None or model.decode(x.tolist()) == t.replace(MARK, " ") for t, x in zip(texts, found, strict=True)]
+            same += [None if t is None else g for t, g in zip(texts, good, strict=True)]
         ends = np.cumsum([len(x) for x in ids], dtype=np.int32)
         null = pa.array([x is None for x in same], pa.bool_())
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=null)

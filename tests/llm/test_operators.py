@@ -302,11 +302,10 @@ def plain_classes(data):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("limits", "small"), [({}, 10**5), ({"leaf": 4, "depth": 2, "node_block": 5, "block": 3}, 0), ({"leaf": 2, "depth": 3, "block_items": 500}, 0)])
-def test_near_duplicates(docs, texts, limits, small, monkeypatch):
-    # no table is small, some keys are hot
-    monkeypatch.setattr(common, "SMALL_ROWS", small)
-    monkeypatch.setattr(common, "HOT", 10)
+@pytest.mark.parametrize(("limits", "hot"), [({}, 2000), ({"leaf": 4, "depth": 2, "node_block": 5, "block": 3}, 10), ({"leaf": 2, "depth": 3, "block_items": 500}, 10)])
+def test_near_duplicates(docs, texts, limits, hot, monkeypatch):
+    # few tables are small, some keys are hot
+    monkeypatch.setattr(common, "HOT", hot)
     monkeypatch.setattr(common, "LEAST_HOT", 3)
     got = neardup.near_duplicates(docs, **limits).collect()
     want = plain_classes([(r[0], r[1]) for r in texts])
@@ -379,10 +378,40 @@ def test_unigram_is_best_by_score():
 
     rng = random.Random(8)
     for t in ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 8))) for _ in range(60)]:
-        ids = model.encode([t])[0].tolist()
+        ids = model.encode([t])[0][0].tolist()
         assert sum(scores[list(scores)[i]] for i in ids) == pytest.approx(best("▁" + t)[0])
 
 
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_model_file_as_the_library(tmp_path, monkeypatch, byte_fallback):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    monkeypatch.setattr(pieces, "KNOWN", 50)
+    rng = random.Random(21)
+    made = pb.ModelProto()
+    made.trainer_spec.model_type, made.trainer_spec.byte_fallback, made.trainer_spec.unk_id = pb.TrainerSpec.UNIGRAM, byte_fallback, 0
+    made.normalizer_spec.name, made.normalizer_spec.add_dummy_prefix, made.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    made.pieces.add(piece="<unk>", score=0, type=pb.ModelProto.SentencePiece.UNKNOWN)
+    if byte_fallback:
+        for b in range(256):
+            made.pieces.add(piece=f"<0x{b:02X}>", score=0, type=pb.ModelProto.SentencePiece.BYTE)
+    words = {"▁", *"abc", *("▁" * rng.randrange(2) + "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(60))} - {"d"}
+    for w in sorted(words):
+        made.pieces.add(piece=w, score=-rng.random() * 8 - len(w))
+    path = str(tmp_path / "own.model")
+    with open(path, "wb") as f:
+        f.write(made.SerializeToString())
+    model, lib = pieces.Pieces.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert model.unigram
+    texts = ["".join(rng.choice("aabbccd  é") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", "d", "dd d", "  "]
+    found, same = model.encode(texts)
+    assert [x.tolist() for x in found] == [lib.encode(t) for t in texts]
+    assert [x.tolist() for x in model.encode(texts[::-1])[0]] == [lib.encode(t) for t in texts[::-1]]
+    # without bytes, unknown characters are lost
+    assert same == [model.decode(x.tolist()) == t for t, x in zip(texts, found, strict=True)] and all(same) == byte_fallback
+
+
 # quality
 
 
