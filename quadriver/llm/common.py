@@ -52,17 +52,24 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
-def joined_by(df: DataFrame, side: DataFrame, keys: list[str], copies: str, how: str = "inner") -> DataFrame:
+def heat(side: DataFrame, copies: str) -> tuple[int, int | None]:
+    """How many rows side has, and the least number of copies that makes a key hot (None: no key is)."""
+    rows, total, most = side.agg(F.count("*"), F.sum(copies), F.max(copies)).first()
+    limit = max(LEAST_HOT, (total or 0) // HOT)
+    return rows, limit if (most or 0) > limit else None
+
+
+def joined_by(df: DataFrame, side: DataFrame, keys: list[str], copies: str, how: str = "inner", known: tuple[int, int | None] | None = None) -> DataFrame:
     """df joined (inner or left) with side, whose keys are unique and whose column copies tells how many rows of df have them (at most).
 
-    A small side is broadcast.  Otherwise keys with more than a HOT-th of all rows, fewer than HOT of them, are broadcast,
-    and the rest is shuffled, so that no task gets more than such a share for one key.  Side should be stored.
+    Keys with more than a HOT-th of all rows, fewer than HOT of them, are broadcast, as is a side of no more rows than
+    that; the rest is shuffled, so that no task gets more than such a share for one key.  Side should be stored; known is
+    what heat() said of it.
     """
-    rows, total, most = side.agg(F.count("*"), F.sum(copies), F.max(copies)).first()
-    if rows <= SMALL_ROWS:
+    rows, limit = known or heat(side, copies)
+    if rows <= HOT:
         return df.join(F.broadcast(side), keys, how)
-    limit = max(LEAST_HOT, total // HOT)
-    if most <= limit:
+    if limit is None:
         return df.join(side, keys, how)
     hot = side.where(F.col(copies) > limit)
     others = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.where(F.col(copies) <= limit), keys, how)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, joined_by
+from .common import col, cut, heat, joined_by
 
 #: Tokens of a signature; of pairs just at the similarity at most this share may agree in too few of them to be likely.
 TOKENS, MISSED = 32, 4e-6
@@ -304,9 +304,10 @@ def chosen_paths(reps: DataFrame, trees: int, leaf: int, depth: int, block: int,
     for d in range(depth + 1):
         counts = cut(level.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1))
         level = cut(joined_by(level, counts, ["node"], "members"))
-        found.append(whole(level.where(F.col("members") <= leaf), Signatures, percent, "node"))
+        few = level.where(F.col("members") <= leaf)
         level = level.where(F.col("members") > leaf)
         if level.isEmpty():
+            found.append(whole(few, Signatures, percent, "node"))
             break
         picks = [F.pmod(F.xxhash64("node", F.lit(d), F.lit(b)), F.lit(TOKENS)).cast("int") for b in range(2)]
         children = F.array(*[F.xxhash64("node", F.lit(b), token(F.col("data"), p)) for b, p in enumerate(picks)])
@@ -316,7 +317,7 @@ def chosen_paths(reps: DataFrame, trees: int, leaf: int, depth: int, block: int,
         stays = F.coalesce((alike >= COHERENT) | F.lit(d == depth), F.lit(True))
         nodes = cut(sizes.groupBy("node", "members").agg(stays.alias("stays")))
         level = cut(joined_by(level.drop("members"), nodes, ["node"], "members"))
-        found.append(whole(level.where(F.col("stays") & (F.col("members") <= block)), Signatures, percent, "node"))
+        found.append(whole(few.unionByName(level.where(F.col("stays") & (F.col("members") <= block)).select(*few.columns)), Signatures, percent, "node"))
         large = level.where(F.col("stays") & (F.col("members") > block)).withColumn("items", F.col("members"))
         if not large.isEmpty():
             found += in_blocks(large, Signatures, percent, "node", block, block)
@@ -333,7 +334,8 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.*")
         parent = cut(both.groupBy("x").agg(F.min("y").alias("y"), F.count("*").alias("copies")).select(F.col("x").alias("c"), F.least("x", "y").alias("p"), "copies"))
         steps.append(parent)
-        up = lambda df, c: joined_by(df.withColumnRenamed(c, "c"), parent, ["c"], "copies").withColumnRenamed("p", c).drop("c", "copies")
+        known = heat(parent, "copies")
+        up = lambda df, c: joined_by(df.withColumnRenamed(c, "c"), parent, ["c"], "copies", known=known).withColumnRenamed("p", c).drop("c", "copies")
         edges = cut(up(up(edges, "u"), "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if not steps:
         return links.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
