@@ -14,8 +14,8 @@ joined are skipped, and the others' intersections are counted exactly (sets that
 the similarity must share are passed over without loss).  Components of the confirmed links are the result.  Components
 are found by contraction: every class joins its neighbour of least random rank, round after round.
 
-Keys that hold more than a 2000th of all rows (so fewer than 2000 of them) are joined by broadcast, the others by
-shuffle.  A group of m sets of which r are not joined by leaders takes m + r * m / block rows.
+Copies of a set that hold more than a 2000th of all rows (so fewer than 2000 sets) get their class by broadcast, others
+by shuffle; the light joins by node and component leave hot keys to adaptive execution.  A group of m sets of which r are not joined by leaders takes m + r * m / block rows.
 
 Null or wordless text: an empty set, linked with nothing.  Fewer than five words: the whole sequence is the one shingle.
 Ids of any type that has an order.  Rows without an id are kept and linked with nothing.  Rows that repeat an id each
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, heat, joined_by
+from .common import col, cut, joined_by
 
 #: Tokens of a signature; of pairs just at the similarity at most this share may agree in too few of them to be likely.
 TOKENS, MISSED = 32, 4e-6
@@ -302,8 +302,8 @@ def chosen_paths(reps: DataFrame, trees: int, leaf: int, depth: int, block: int,
     level = reps.select("rep", "n", F.col("sig").alias("data"), F.explode(F.array(*roots)).alias("node"))
     found = []
     for d in range(depth + 1):
-        counts = cut(level.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1))
-        level = cut(joined_by(level, counts, ["node"], "members"))
+        counts = level.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+        level = cut(level.join(counts, "node"))
         few = level.where(F.col("members") <= leaf)
         level = level.where(F.col("members") > leaf)
         if level.isEmpty():
@@ -315,8 +315,8 @@ def chosen_paths(reps: DataFrame, trees: int, leaf: int, depth: int, block: int,
         sizes = level.select("node", "members", F.explode(children).alias("child")).groupBy("node", "members", "child").agg(F.count("*").alias("c"))
         alike = F.sum(F.col("c") * F.col("c")) / (len(picks) * F.max(F.col("members") * F.col("members")))
         stays = F.coalesce((alike >= COHERENT) | F.lit(d == depth), F.lit(True))
-        nodes = cut(sizes.groupBy("node", "members").agg(stays.alias("stays")))
-        level = cut(joined_by(level.drop("members"), nodes, ["node"], "members"))
+        nodes = sizes.groupBy("node").agg(stays.alias("stays"))
+        level = cut(level.join(nodes, "node"))
         found.append(whole(few.unionByName(level.where(F.col("stays") & (F.col("members") <= block)).select(*few.columns)), Signatures, percent, "node"))
         large = level.where(F.col("stays") & (F.col("members") > block)).withColumn("items", F.col("members"))
         if not large.isEmpty():
@@ -326,27 +326,21 @@ def chosen_paths(reps: DataFrame, trees: int, leaf: int, depth: int, block: int,
 
 
 def components(links: DataFrame) -> DataFrame:
-    """rep, comp (the smallest rep it is connected to, itself included) of each end of a link."""
+    """rep, comp (the smallest rep it is connected to, itself included) of each end of a link.
+
+    A hub has many rows of one key here; the joins' other sides are unique by it, so adaptive execution splits them.
+    """
     ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     edges = cut(links.select(ranked("u").alias("u"), ranked("v").alias("v")))
-    steps = []
+    label = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct().select("x", F.col("x").alias("to"))
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select("e.*")
-        parent = cut(both.groupBy("x").agg(F.min("y").alias("y"), F.count("*").alias("copies")).select(F.col("x").alias("c"), F.least("x", "y").alias("p"), "copies"))
-        steps.append(parent)
-        known = heat(parent, "copies")
-        up = lambda df, c: joined_by(df.withColumnRenamed(c, "c"), parent, ["c"], "copies", known=known).withColumnRenamed("p", c).drop("c", "copies")
+        parent = cut(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("c"), F.least("x", "y").alias("p")))
+        up = lambda df, c: df.join(parent, F.col(c) == F.col("c"), "left").withColumn(c, F.coalesce("p", c)).drop("c", "p")
+        label = up(label, "to")
         edges = cut(up(up(edges, "u"), "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    if not steps:
-        return links.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
-    # from the last step back: what each class of a step ended in
-    ends = steps[-1].select("c", "p")
-    for step in reversed(steps[:-1]):
-        to = step.groupBy("p").agg(F.count("*").alias("copies")).join(ends.select(F.col("c").alias("q"), F.col("p").alias("end")), F.col("p") == F.col("q"), "left")
-        to = cut(to.select("p", "copies", F.coalesce("end", "p").alias("end")))
-        ends = cut(joined_by(step.select("c", "p"), to, ["p"], "copies").select("c", F.col("end").alias("p")))
-    least = cut(ends.groupBy("p").agg(F.min("c.id").alias("comp"), F.count("*").alias("copies")))
-    return joined_by(ends, least, ["p"], "copies").select(F.col("c.id").alias("rep"), "comp")
+    least = label.groupBy("to").agg(F.min("x.id").alias("comp"))
+    return label.join(least, "to").select(F.col("x.id").alias("rep"), "comp")
 
 
 #: Bits of the filter that spares texts outside the likely classes the exchange; its size does not grow.
@@ -375,8 +369,8 @@ def might_be(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
 
 def confirm(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int, percent: int, block: int, block_items: int) -> DataFrame:
     """u, v: links of members (rep, comp, n, a, b, first_id, first_t) whose full sets reach the similarity, as forests."""
-    total = cut(members.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("items")))
-    members = joined_by(members, total, ["comp"], "members")
+    total = members.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("items"))
+    members = members.join(total, "comp")
     texts = might_be(docs, members, id_col).select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("t"), col(text_col).cast("binary").alias("text"))
     # copies of a row meet before the exchange
     texts = texts.groupBy("id", "t").agg(F.any_value("text").alias("text"))
@@ -404,8 +398,8 @@ def classed(docs: DataFrame, percent: int, size: int, trees: int, leaf: int, dep
     members = cut(reps.select("rep", "n", "first_id", "first_t").join(found, "rep"))
     links = cut(confirm(docs, members, id_col, text_col, size, percent, block, block_items).distinct())
     confirmed = cut(reps.select("rep", "n", "a", "b", "first_id", "first_t", "copies").join(components(links), "rep"))
-    least = cut(confirmed.groupBy("comp").agg(F.min(F.struct("first_id", "first_t")).alias("least"), F.count("*").alias("sets")))
-    linked = joined_by(confirmed, least, ["comp"], "sets").select("n", "a", "b", "least.*", "copies")
+    least = confirmed.groupBy("comp").agg(F.min(F.struct("first_id", "first_t")).alias("least"))
+    linked = confirmed.join(least, "comp").select("n", "a", "b", "least.*", "copies")
     alone = reps.join(confirmed.select("rep"), "rep", "left_anti").where("copies > 1").select("n", "a", "b", "first_id", "first_t", "copies")
     classes = cut(linked.toDF(*alone.columns).unionByName(alone))
     with_set = (F.col("doc_id").isNotNull()) & (F.col("n") > 0)
