@@ -33,7 +33,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     store, command = Store(spark, given["store"]), given["command"]
     if command == "copy":
         whole = lambda k: int(given[k]) if given[k] else None
-        store.copy_to(Store(spark, given["sink"]), given["item"], given["property"], whole("from"), whole("to"))
+        store.copy_to(Store(spark, given["sink"]), given["item"], given["property"], whole("from"), whole("to"), given["model"], whole("limit") or 0, whole("interval") or 0, given["op"])
         return
     rows = store.read()
     if command == "descendants":

@@ -48,6 +48,8 @@ def closure(edges: DataFrame, source: str = "s", target: str = "o", zero: bool =
         if (n := reach.count()) == known:
             break
         known = n
+    else:
+        raise ValueError(f"the closure is not complete after {most_rounds} rounds")
     if zero:
         nodes = edges.select(F.explode(F.array(source, target)).alias("s")).distinct()
         reach = reach.union(nodes.select("s", F.col("s").alias("o"))).distinct()

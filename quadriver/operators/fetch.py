@@ -127,6 +127,6 @@ def sample(df: DataFrame, interval: int, limit: int = 0) -> DataFrame:
 def in_contexts(df: DataFrame, contexts: list[str]) -> DataFrame:
     """For each item and property the values of the first context, in the given order, that has any."""
     rank = F.coalesce(*[F.when(F.col("context") == c, i) for i, c in enumerate(contexts)])
-    best = Window.partitionBy("item", "property")
     df = df.where(F.col("context").isin(contexts)).withColumn("_rank", rank)
-    return df.withColumn("_best", F.min("_rank").over(best)).where("_rank = _best").drop("_rank", "_best")
+    least = df.groupBy("item", "property").agg(F.min("_rank").alias("_rank"))
+    return df.join(least, ["item", "property", "_rank"], "left_semi").select(*[c for c in df.columns if c != "_rank"])

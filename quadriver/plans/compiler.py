@@ -253,6 +253,9 @@ class Engine:
         if p.kind == "seq":
             step = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
             return reduce(step, (self.path(triples, x) for x in parts))
+        if p.kind == "optional":
+            nodes = triples.select(F.explode(F.array("s", "o")).alias("s")).distinct()
+            return self.path(triples, parts[0]).union(nodes.select("s", F.col("s").alias("o"))).distinct()
         return catalog.closure(self.path(triples, parts[0]), zero=p.kind == "star")
 
     # fetches
@@ -449,7 +452,11 @@ class Engine:
                 fn = getattr(F, name.lower())
                 return F.coalesce(fn(number(0)).cast("string"), fn(args[0][0])), "any"
             if e.distinct and name in ("SUM", "AVG"):
-                return getattr(F, f"{name.lower()}_distinct", F.sum_distinct)(x), "num"
+                whole = F.sum_distinct(x)
+                return (whole if name == "SUM" else F.try_divide(whole, F.count_distinct(x))), "num"
+            if name == "GROUP_CONCAT":
+                between = args[1][0] if len(args) > 1 else F.lit(" ")
+                return (F.listagg_distinct if e.distinct else F.listagg)(x.cast("string"), between), "str"
             return AGGREGATES[name](x), "num" if name in ("SUM", "AVG") else "any"
         if name not in STANDARD:
             raise ValueError(f"unknown function {name}")

@@ -1,7 +1,8 @@
 """Line protocol: measurement,item=<uri>[,tags] value=<v>[,fields] [nanoseconds].
 
 The measurement is the property, the tag ``item`` the item and the field ``value`` the value: a quoted text, a whole
-number ending in i, a truth value or a number.  Blanks, commas and equal signs may be escaped by a backslash.
+number ending in i, a truth value or a number.  Blanks or tabs part
+them; blanks, commas and equal signs may be escaped by a backslash.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ TRUTH = {**dict.fromkeys(("t", "T", "true", "True", "TRUE"), True), **dict.fromk
 
 
 def _split(line: str, at: str) -> list[str]:
-    """Pieces between separators that are neither escaped nor inside quotes."""
+    """Pieces between separators (any of the given characters) that are neither escaped nor inside quotes."""
     out, piece, quoted, i = [], "", False, 0
     while i < len(line):
         c = line[i]
@@ -25,7 +26,7 @@ def _split(line: str, at: str) -> list[str]:
             i += 2
             continue
         quoted ^= c == '"'
-        if c == at and not quoted:
+        if c in at and not quoted:
             out.append(piece)
             piece = ""
         else:
@@ -56,12 +57,14 @@ def parse(text: str, context: str | None = None) -> Iterator[tuple]:
     for line in text.splitlines():
         if not line.strip() or line.lstrip().startswith("#"):
             continue
-        parts = [p for p in _split(line.strip(), " ") if p]
+        parts = [p for p in _split(line.strip(), " \t") if p]
         if len(parts) not in (2, 3):
             raise ValueError(f"bad line: {line}")
         head = _split(parts[0], ",")
-        tags = dict(_split(t, "=") for t in head[1:])
-        fields = dict(_split(f, "=") for f in _split(parts[1], ","))
+        pairs = [_split(t, "=") for t in head[1:]], [_split(f, "=") for f in _split(parts[1], ",")]
+        if any(len(x) != 2 for part in pairs for x in part):
+            raise ValueError(f"bad line: {line}")
+        tags, fields = map(dict, pairs)
         if "item" not in tags or "value" not in fields:
             raise ValueError(f"no item or value: {line}")
         yield row(_plain(tags["item"]), _plain(head[0]), int(parts[2]) // 1_000_000 if len(parts) == 3 else None, 0, _value(fields["value"]), context)

@@ -2,18 +2,25 @@
 
 Files lie under year=/week=, week counted in sevens of days from January 1st (UTC), sorted by series, newest first.  An
 upsert is an append with a higher ingest_ts; reads merge by key before anything else.  Deletes are rows that hide: a
-tombstone has v_type ``deleted``.  One writer at a time.
+tombstone has v_type ``deleted``.
+
+Every change is a transaction: its files are staged aside, a manifest of the files to move in and to remove is put in
+place by one rename, and then carried out.  Whoever opens the store next finishes what a lost writer left; a staged
+folder without a manifest is never read.  Versions are marker files, made without overwriting, so that no two writers
+draw the same.  One compaction at a time.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.fetch import _year_week, aligned_week, in_range
+from .operators.fetch import _year_week, aggregate, aligned_week, in_range, newest_of_series, sample
 from .operators.sets import last_write_wins
 from .schema import COLUMNS, KEY, TUPLE, VALUES
 
@@ -48,6 +55,7 @@ class Store:
     def raw(self) -> DataFrame:
         """All versions, with ingest_ts, year and week; a missing or broken file is passed over."""
         schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in TUPLE)}, ingest_ts bigint, year int, week int"
+        self._recover()
         if not self._exists(self.path):
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
@@ -58,17 +66,76 @@ class Store:
         return last_write_wins(in_range(self.raw(), begin, end)).where("v_type <> 'deleted'").select(*COLUMNS, "year", "week")
 
     def _version(self) -> int:
-        last = self.raw().agg(F.max("ingest_ts")).first()[0]
-        return (last or 0) + 1
-
-    def _write(self, rows: DataFrame, path: str) -> None:
+        """A version that no other writer has."""
+        fs, top = self._fs(f"{self.path}/_versions")
+        if fs.exists(top):
+            last = max((int(f.getPath().getName()) for f in fs.listStatus(top)), default=0)
+        else:  # a store from before there were markers
+            last = self.raw().agg(F.max("ingest_ts")).first()[0] or 0
+            fs.mkdirs(top)
+        while True:
+            last += 1
+            if fs.createNewFile(self._fs(f"{self.path}/_versions/{last}")[1]):
+                for f in fs.listStatus(top):  # only the newest markers are needed
+                    if int(f.getPath().getName()) < last - 100:
+                        fs.delete(f.getPath(), False)
+                return last
+
+    def _write(self, rows: DataFrame, remove: list[str] = ()) -> None:
+        """Add files of the rows, and remove others, as one transaction."""
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
         stamped = rows.withColumn("year", F.year(F.timestamp_millis("time"))).withColumn("week", aligned_week(F.col("time")))
         order = ["year", "week", *KEY, F.col("time").desc(), F.col("seqNr").desc()]
-        stamped.repartition("year", "week", F.pmod(F.hash("item"), F.lit(16))).sortWithinPartitions(*order).write.mode("append").partitionBy("year", "week").parquet(path)
+        stamped.repartition("year", "week", F.pmod(F.hash("item"), F.lit(16))).sortWithinPartitions(*order).write.partitionBy("year", "week").parquet(staged)
+        self._finish(self._commit(staged, remove))
+
+    def _commit(self, staged: str, remove: list[str] = ()) -> str:
+        """Put the manifest in place: from then on the change holds."""
+        moves = [[f"{staged}/{part}/{name}", f"{self.path}/{part}/{name}"] for part, name in self._files(staged)]
+        manifest = f"{self.path}/_tx-{uuid.uuid4().hex}"
+        fs, new = self._fs(manifest + ".tmp")
+        out = fs.create(new)
+        out.write(bytearray(json.dumps({"staged": staged, "moves": moves, "remove": list(remove)}).encode()))
+        out.close()
+        if not fs.rename(new, self._fs(manifest + ".json")[1]):
+            raise OSError(f"cannot commit {manifest}")
+        return manifest + ".json"
+
+    def _finish(self, manifest: str) -> None:
+        """Carry a manifest out; doing so again, or from where another stopped, does no harm."""
+        fs, where = self._fs(manifest)
+        stream = fs.open(where)
+        todo = json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        stream.close()
+        for old, new in todo["moves"]:
+            if fs.exists(self._fs(old)[1]):
+                fs.mkdirs(self._fs(new)[1].getParent())
+                fs.rename(self._fs(old)[1], self._fs(new)[1])
+        for gone in todo["remove"]:
+            fs.delete(self._fs(gone)[1], True)
+        fs.delete(self._fs(todo["staged"])[1], True)
+        fs.delete(where, False)
+
+    def _recover(self) -> None:
+        fs, top = self._fs(self.path)
+        for f in fs.listStatus(top) if fs.exists(top) else []:
+            if re.fullmatch(r"_tx-\w+\.json", f.getPath().getName()):
+                self._finish(f"{self.path}/{f.getPath().getName()}")
+
+    def _files(self, path: str) -> list[tuple[str, str]]:
+        """Partition (year=/week=) and name of each data file below a path."""
+        found = []
+        fs, top = self._fs(path)
+        for y in fs.listStatus(top) if fs.exists(top) else []:
+            if (year := y.getPath().getName()).startswith("year="):
+                for w in fs.listStatus(y.getPath()):
+                    if (week := w.getPath().getName()).startswith("week="):
+                        found += [(f"{year}/{week}", name) for f in fs.listStatus(w.getPath()) if (name := f.getPath().getName()).endswith(".parquet")]
+        return found
 
     def put(self, rows: DataFrame) -> None:
         """Add or replace values."""
-        self._write(rows.select(*COLUMNS).withColumn("ingest_ts", F.lit(self._version()).cast("long")), self.path)
+        self._write(rows.select(*COLUMNS).withColumn("ingest_ts", F.lit(self._version()).cast("long")))
 
     def delete(self, item: str | None = None, property: str | None = None, context: str | None = None, begin: int | None = None, end: int | None = None) -> int:
         """Hide the values that match all that is given; how many there were."""
@@ -78,7 +145,7 @@ class Store:
         gone = checkpointed(gone)
         if n := gone.count():
             none = [F.lit("deleted").alias("v_type"), *[F.lit(None).cast(TUPLE[c].dataType).alias(c) for c in VALUES[1:]]]
-            self._write(gone.select("context", "item", "property", "time", "seqNr", *none).withColumn("ingest_ts", F.lit(self._version()).cast("long")), self.path)
+            self._write(gone.select("context", "item", "property", "time", "seqNr", *none).withColumn("ingest_ts", F.lit(self._version()).cast("long")))
         return n
 
     def _fs(self, path: str):
@@ -91,37 +158,22 @@ class Store:
 
     def weeks(self) -> list[tuple[int, int, int]]:
         """year, week and number of data files of each partition, from the folder listing."""
-        found = []
-        fs, top = self._fs(self.path)
-        for y in fs.listStatus(top) if fs.exists(top) else []:
-            if (name := y.getPath().getName()).startswith("year="):
-                for w in fs.listStatus(y.getPath()):
-                    if (week := w.getPath().getName()).startswith("week="):
-                        files = [f for f in fs.listStatus(w.getPath()) if f.getPath().getName().endswith(".parquet")]
-                        found.append((int(name[5:]), int(week[5:]), len(files)))
-        return sorted(found)
+        self._recover()
+        counts: dict[tuple[int, int], int] = {}
+        for part, _ in self._files(self.path):
+            year, week = (int(x.partition("=")[2]) for x in part.split("/"))
+            counts[year, week] = counts.get((year, week), 0) + 1
+        return sorted((y, w, n) for (y, w), n in counts.items())
 
     def compact(self, least_files: int = 3) -> int:
         """Rewrite partitions of many files: one version of each value, no tombstones.  How many were rewritten."""
         busy = [(y, w) for y, w, n in self.weeks() if n >= least_files]
         if busy:
+            parts = {f"year={y}/week={w}" for y, w in busy}
+            old = [f"{self.path}/{part}/{name}" for part, name in self._files(self.path) if part in parts]
             chosen = F.array(*[F.lit(y * 100 + w) for y, w in busy])
             rows = self.raw().where(F.array_contains(chosen, F.col("year") * 100 + F.col("week")))
-            kept = last_write_wins(rows).where("v_type <> 'deleted'").select(*COLUMNS, "ingest_ts", "year", "week")
-            staged = f"{self.path}/_compacting"
-            fs, where = self._fs(staged)
-            fs.delete(where, True)
-            size = sum(n for _, _, n in self.weeks())
-            order = ["year", "week", *KEY, F.col("time").desc(), F.col("seqNr").desc()]
-            kept.repartition(max(1, min(size, len(busy))), "year", "week").sortWithinPartitions(*order).write.partitionBy("year", "week").parquet(staged)
-            for y, w in busy:
-                self._drop(y, w)
-                _, new = self._fs(f"{staged}/year={y}/week={w}")
-                _, old = self._fs(f"{self.path}/year={y}/week={w}")
-                fs.mkdirs(old.getParent())
-                if fs.exists(new):
-                    fs.rename(new, old)
-            fs.delete(where, True)
+            self._write(last_write_wins(rows).where("v_type <> 'deleted'").select(*COLUMNS, "ingest_ts"), old)
         return len(busy)
 
     def _drop(self, year: int, week: int) -> None:
@@ -141,7 +193,7 @@ class Store:
         old = checkpointed(self.read().where(F.col("time") < F.lit(now) - expiry(F.col("item"))))
         if n := old.count():
             none = [F.lit("deleted").alias("v_type"), *[F.lit(None).cast(TUPLE[c].dataType).alias(c) for c in VALUES[1:]]]
-            self._write(old.select("context", "item", "property", "time", "seqNr", *none).withColumn("ingest_ts", F.lit(self._version()).cast("long")), self.path)
+            self._write(old.select("context", "item", "property", "time", "seqNr", *none).withColumn("ingest_ts", F.lit(self._version()).cast("long")))
         return n
 
     def archive_to(self, cold: Store, before: int) -> int:
@@ -152,7 +204,10 @@ class Store:
             self.delete(end=before - 1)
         return n
 
-    def copy_to(self, other: Store, item: str | None = None, property: str | None = None, begin: int | None = None, end: int | None = None) -> None:
+    def copy_to(self, other: Store, item: str | None = None, property: str | None = None, begin: int | None = None, end: int | None = None, context: str | None = None, limit: int = 0, interval: int = 0, op: str | None = None) -> None:
+        """Copy values, of all contexts unless one is named; limit, interval and op as in a fetch, for each series."""
         rows = self.read(begin, end)
-        rows = rows if item in (None, "*") else rows.where(F.col("item") == item)
-        other.put(rows if property is None else rows.where(F.col("property") == property))
+        for name, x in (("item", None if item == "*" else item), ("property", property), ("context", context)):
+            rows = rows if x is None else rows.where(F.col(name) == x)
+        rows = aggregate(rows, op, interval, limit) if op else sample(rows, interval, limit) if interval > 0 else newest_of_series(rows, limit)
+        other.put(rows)

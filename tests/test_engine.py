@@ -144,8 +144,10 @@ def test_line_protocol():
     found = list(line_protocol.parse('p1,item=http://ex/i value=42i\np2,item=http://ex/i,x=y value="a \\"b\\", c",z=1 1000000\n\np3,item=http://ex/i value=23.0 1556813561098000000\np4,item=http://ex/i value=F'))
     assert [typed(x) for x in (42, 'a "b", c', 23.0, False)] == [r[5:] for r in found]
     assert found[1][3] == 1 and found[2][3] == 1556813561098
-    with pytest.raises(ValueError):
-        list(line_protocol.parse("nonsense"))
+    assert [r[5:7] for r in line_protocol.parse("p1,item=http://ex/i\tvalue=42i\t1000000")] == [("int", 42)]
+    for bad in ("nonsense", "p,item=http://ex/i,t=x=y value=1"):
+        with pytest.raises(ValueError):
+            list(line_protocol.parse(bad))
 
 
 def test_documents(spark, tmp_path):
@@ -183,6 +185,39 @@ def test_store(spark, tmp_path):
     assert cold.read().count() == 120 and cold.retain(start + 21 * DAY, 8 * DAY) == 1 and cold.read().count() == 40
 
 
+def test_store_after_a_lost_writer(spark, tmp_path):
+    """A writer is lost after each step of a change: nothing is lost, nothing deleted comes back."""
+    for step in ("staged", "committed", "moved", "removed"):
+        store = Store(spark, str(tmp_path / step))
+        for v in range(3):
+            store.put(created(spark, [row("urn:a", "urn:p", t, 0, 10 * v + t) for t in (1, 2)]))
+        store.delete("urn:a", begin=2)
+
+        class Lost(Exception):
+            pass
+
+        class Writer(Store):
+            def _commit(self, staged, remove=()):
+                if step == "staged":
+                    raise Lost
+                return super()._commit(staged, remove)
+
+            def _finish(self, manifest):
+                fs, where = self._fs(manifest)
+                todo = json.loads(open(manifest.removeprefix("file:")).read())
+                for old, new in todo["moves"] if step in ("moved", "removed") else []:
+                    fs.rename(self._fs(old)[1], self._fs(new)[1])
+                for gone in todo["remove"][-1:] if step == "removed" else []:
+                    fs.delete(self._fs(gone)[1], True)
+                raise Lost
+
+        with pytest.raises(Lost):
+            Writer(spark, store.path).compact()
+        assert rows(Store(spark, store.path).read(), "time", "v_long") == [(1, 21)], step
+        assert Store(spark, store.path).compact(1) == 1 and rows(store.read(), "time", "v_long") == [(1, 21)]
+        assert len({store._version(), store._version(), Store(spark, store.path)._version()}) == 3
+
+
 def test_expiry(spark, tmp_path):
     assert expiry_ms("urn:a?ttl=2d") == 2 * DAY and expiry_ms("urn:a?x=1&ttl=2d") is None and expiry_ms("urn:a") is None
     store = Store(spark, str(tmp_path / "s"))
@@ -209,6 +244,10 @@ def test_command_line(spark, tmp_path, capsys):
     main([path, "properties", "urn:a"], spark)
     main([path, "copy", "*", str(tmp_path / "t")], spark)
     main([str(tmp_path / "t"), "fetch", "urn:a"], spark)
+    Store(spark, path).put(created(spark, [row("urn:a", "urn:p", t, 0, t) for t in range(2, 9)]))
+    main([path, "copy", "*", str(tmp_path / "u"), "--limit", "3"], spark)
+    main([path, "copy", "*", str(tmp_path / "w"), "--op", "sum", "--model", DEFAULT_CONTEXT], spark)
+    assert Store(spark, str(tmp_path / "u")).read().count() == 3 and rows(Store(spark, str(tmp_path / "w")).read(), "v_long") == [(40,)]
     assert capsys.readouterr().out == 'urn:p\n{"urn:a":{"urn:p":[{"time":1,"value":5}]}}\n'
 
 

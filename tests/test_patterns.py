@@ -119,6 +119,13 @@ def test_aggregate_parameters_and_functions(engine):
     assert engine.ask("ask { <urn:f> <urn:contains> ?x }") and not engine.ask("ask { <urn:g> <urn:contains> ?x }")
 
 
+def test_distinct_aggregates_and_separator(engine):
+    text = "select (avg(distinct ?v) as ?a) (sum(distinct ?v) as ?s) (group_concat(distinct ?v; separator=',') as ?c) { values ?v { 1 3 3 8 } }"
+    r = engine.query(text).first()
+    assert (r.a, r.s, sorted(r.c.split(","))) == (4.0, 12.0, ["1", "3", "8"])
+    assert got(engine, "select ?x { <urn:f> <urn:contains>? ?x }", "x") == [("urn:a",), ("urn:f",)]
+
+
 @pytest.mark.parametrize("text", ["select", "select * { ?a }", "construct { ?a ?b ?c } where { ?a ?b ?c }", "select * { x:y ?p ?o }", "select * { ?a ?b ?c"])
 def test_malformed(text):
     with pytest.raises(ValueError):
