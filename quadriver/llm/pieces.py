@@ -31,8 +31,8 @@ from .common import col
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of a generation's words, and half the pairs of pieces, that a worker remembers.
-KNOWN = 2_500_000
+#: Characters of a generation's words, and twice the pairs of pieces, that a worker remembers.
+KNOWN = 1_000_000
 RADIX = 1 << 22
 
 
