@@ -98,6 +98,10 @@ STANDARD: dict[str, Callable[..., Column]] = {
     "STR": lambda x: x.cast("string"),
     "IRI": lambda x: x,
     "URI": lambda x: x,
+    "ENCODE_FOR_URI": lambda x: F.replace(F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")),
+    "SAMETERM": lambda a, b: a == b,
+    "STRUUID": F.uuid,
+    "UUID": lambda: F.concat(F.lit("urn:uuid:"), F.uuid()),
     "ISNUMERIC": lambda x: x.try_cast("double").isNotNull(),
     "DATETIME": date_time,
 }

@@ -88,23 +88,27 @@ def with_index(df: DataFrame) -> DataFrame:
     return df.withColumn("idx", (F.row_number().over(series()) - 1).cast("long"))
 
 
-def bucket(interval: int) -> Column:
+def bucket(interval: int | Column) -> Column:
+    if isinstance(interval, Column):
+        return F.when(interval > 0, F.col("time") - F.col("time") % interval).otherwise(0)
     return F.expr(f"time - time % {int(interval)}") if interval > 0 else F.lit(0).cast("long")
 
 
-def aggregate(df: DataFrame, op: str, interval: int = 0, limit: int = 0) -> DataFrame:
+def aggregate(df: DataFrame, op: str, interval: int | Column = 0, limit: int | Column = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per series and interval: time is the interval's start, seqNr counts from 1, the newest first.
 
     avg is a double; sum of integers is an integer; min and max of values that are no numbers compare their texts;
-    first is the newest value, whatever its type.  limit counts intervals.
+    first is the newest value, whatever its type.  limit counts intervals.  With further columns by, each of their values is
+    a series of its own, and interval and limit may be columns that depend on them.
     """
     op = op.strip().lower()
     if op not in OPS:
         raise ValueError(f"unknown op {op!r}: one of {', '.join(OPS)}")
-    grouped = df.groupBy(*KEY, bucket(interval).alias("time"))
+    keys = [*KEY, *by]
+    grouped = df.groupBy(*keys, bucket(interval).alias("time"))
     if op == "first":
         held = F.max_by(F.struct(*VALUES), F.struct("time", "seqNr"))
-        out = grouped.agg(held.alias("v")).select(*KEY, "time", "v.*")
+        out = grouped.agg(held.alias("v")).select(*keys, "time", "v.*")
     else:
         number = getattr(F, op)(num())
         whole = F.count(F.when(F.col("v_long").isNull(), 1)) == 0
@@ -113,10 +117,14 @@ def aggregate(df: DataFrame, op: str, interval: int = 0, limit: int = 0) -> Data
         out = grouped.agg(number.alias("x"), long.cast("long").alias("v_long"), text.cast("string").alias("s"))
         out = out.withColumn("v_double", F.when(F.col("v_long").isNull(), F.col("x"))).withColumn("v_string", F.when(F.col("x").isNull(), F.col("s")))
         kind = F.when(F.col("v_long").isNotNull(), "long").when(F.col("v_double").isNotNull(), "double").otherwise("string")
-        out = out.select(*KEY, "time", kind.alias("v_type"), "v_long", "v_double", F.lit(None).cast("decimal(38,18)").alias("v_decimal"), "v_string", F.lit(None).cast("boolean").alias("v_bool"), F.lit(None).cast("string").alias("v_json"))
-    order = Window.partitionBy(*KEY).orderBy(F.col("time").desc())
+        out = out.select(*keys, "time", kind.alias("v_type"), "v_long", "v_double", F.lit(None).cast("decimal(38,18)").alias("v_decimal"), "v_string", F.lit(None).cast("boolean").alias("v_bool"), F.lit(None).cast("string").alias("v_json"))
+    order = Window.partitionBy(*keys).orderBy(F.col("time").desc())
     out = out.withColumn("seqNr", F.row_number().over(order))
-    return (out.where(F.col("seqNr") <= limit) if limit > 0 else out).select(*KEY, "time", "seqNr", *VALUES)
+    if isinstance(limit, Column):
+        out = out.where((limit <= 0) | (F.col("seqNr") <= limit))
+    elif limit > 0:
+        out = out.where(F.col("seqNr") <= limit)
+    return out.select(*keys, "time", "seqNr", *VALUES)
 
 
 def sample(df: DataFrame, interval: int, limit: int = 0) -> DataFrame:

@@ -7,11 +7,13 @@ Inside a service over values a statement ``item property node`` is a fetch, and
 namespace (from, to, limit, interval, op, time, seqNr, index, value, valueJson, params) are its parameters and outputs.
 Limits apply before any test on value, sequence number or index.  Statements of a value navigate records and arrays.
 Parameters that are variables are taken from the solutions so far; fetches are ordered so that these exist.  A fetch
-that only has ``to`` from a variable and limit 1 is an as-of join: one exchange, no nested loop.
+that only has ``to`` from a variable and limit 1 is an as-of join: one exchange, no nested loop.  ``graph ?g`` ranges over
+the contexts of values; without a graph it is the default context.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,9 +25,9 @@ from pyspark.sql.window import Window
 from ..functions import records
 from ..functions.values import AGGREGATES, STANDARD
 from ..operators import catalog
-from ..operators.fetch import aggregate, in_range, newest, newest_of_series, sample, series
+from ..operators.fetch import OPS, aggregate, in_range, newest, newest_of_series, sample, series
 from ..operators.joins import asof_join
-from ..schema import DEFAULT_CONTEXT, NAMESPACE, num, text
+from ..schema import COLUMNS, DEFAULT_CONTEXT, NAMESPACE, VALUES, num, text
 from . import parser as ast
 from .parser import RDF, Call, Iri, Lit, Query, Triple, Var, parse
 
@@ -86,7 +88,7 @@ class Engine:
         return df.limit(1) if q.ask else df
 
     # queries
-    def solve(self, q: Query, seed: Solutions | None = None, data: DataFrame | None = None, context: str | None = None) -> Solutions:
+    def solve(self, q: Query, seed: Solutions | None = None, data: DataFrame | None = None, context: str | Var | None = None) -> Solutions:
         found = self.group(q.group, seed, data, context) or Solutions(self.spark.range(1).select())
         df = found.df
         if q.select is None:
@@ -120,7 +122,7 @@ class Engine:
         return Solutions(df, found.maybe & set(df.columns))
 
     # groups
-    def group(self, g: ast.Group, seed: Solutions | None, data: DataFrame | None, context: str | None) -> Solutions | None:
+    def group(self, g: ast.Group, seed: Solutions | None, data: DataFrame | None, context: str | Var | None) -> Solutions | None:
         """Solutions of a group, joined with the seed's; data: values of the service that the group is in."""
         now = seed
         first = [p for p in g.parts if isinstance(p, (ast.Values, Query))]
@@ -157,7 +159,7 @@ class Engine:
         own = set().union(*(variables(t) for t in g.parts if isinstance(t, Triple))) if any(isinstance(t, Triple) for t in g.parts) else set()
         return bool((needed - have) & own)
 
-    def nested(self, p: object, now: Solutions | None, data: DataFrame | None, context: str | None) -> Solutions | None:
+    def nested(self, p: object, now: Solutions | None, data: DataFrame | None, context: str | Var | None) -> Solutions | None:
         if isinstance(p, ast.Union):
             parts = [self.group(x, now, data, context) for x in p.groups]
             names = set.intersection(*(set(x.df.columns) - x.maybe for x in parts))
@@ -165,9 +167,11 @@ class Engine:
         if isinstance(p, ast.Service):
             return self.group(p.group, now, self.service(p.url), context)
         if isinstance(p, ast.Graph):
-            if not isinstance(p.context, Iri):
-                raise ValueError("graph needs an IRI")
-            return self.group(p.group, now, data, p.context.value)
+            if isinstance(p.context, Iri):
+                return self.group(p.group, now, data, p.context.value)
+            if data is None or "context" not in data.columns:
+                raise ValueError("a graph is chosen by a variable only among the contexts of values")
+            return self.group(p.group, now, data, p.context)
         return self.group(p, now, data, context)
 
     def service(self, url: object) -> DataFrame:
@@ -203,12 +207,12 @@ class Engine:
         maybe = a.maybe | b.maybe if how == "inner" else a.maybe | (set(b.df.columns) - set(shared)) | loose
         return Solutions(df, maybe - ({n for n in loose if n not in a.maybe or n not in b.maybe} if how == "inner" else set()))
 
-    def optional(self, now: Solutions | None, g: ast.Group, data: DataFrame | None, context: str | None) -> Solutions:
+    def optional(self, now: Solutions | None, g: ast.Group, data: DataFrame | None, context: str | Var | None) -> Solutions:
         needed = _parameters(g, self.namespace) & set(now.df.columns)
         seed = Solutions(now.df.select(*map(c, sorted(needed))).distinct()) if needed else None
         return self.join(now, self.group(g, seed, data, context), "left")
 
-    def filter(self, now: Solutions, e: object, data: DataFrame | None, context: str | None) -> Solutions:
+    def filter(self, now: Solutions, e: object, data: DataFrame | None, context: str | Var | None) -> Solutions:
         if isinstance(e, ast.Exists):
             right = self.group(e.group, None, data, context)
             shared = [n for n in now.df.columns if n in right.df.columns]
@@ -259,7 +263,7 @@ class Engine:
         return catalog.closure(self.path(triples, parts[0]), zero=p.kind == "star")
 
     # fetches
-    def fetches(self, statements: list[Triple], now: Solutions | None, data: DataFrame, context: str | None) -> Solutions:
+    def fetches(self, statements: list[Triple], now: Solutions | None, data: DataFrame, context: str | Var | None) -> Solutions:
         params: dict[object, dict] = {}
         rest: list[Triple] = []
         for t in statements:
@@ -303,17 +307,15 @@ class Engine:
             waiting = [t for t in waiting if t not in ready]
         return now
 
-    def fetch(self, f: Fetch, now: Solutions | None, data: DataFrame, context: str | None) -> Solutions:
+    def fetch(self, f: Fetch, now: Solutions | None, data: DataFrame, context: str | Var | None) -> Solutions:
         bound = set(now.df.columns) - now.maybe if now else set()
         constant = lambda k: f.params[k].value if isinstance(f.params.get(k), (Lit, Iri)) else None
         varied = {k: f.params[k].name for k in ("from", "to", "limit", "interval", "op") if isinstance(f.params.get(k), Var)}
         if missing := set(varied.values()) - (set(now.df.columns) if now else set()):
             raise ValueError(f"parameters are not bound: {', '.join(sorted(missing))}")
-        if {"interval", "op"} & varied.keys():
-            raise ValueError("interval and op must be constants")
-        rows = data.where(F.col("context") == (context or DEFAULT_CONTEXT))
+        rows = data if isinstance(context, Var) else data.where(F.col("context") == (context or DEFAULT_CONTEXT))
         keys: dict[str, str] = {}
-        for column, x in (("item", f.s), ("property", f.p)):
+        for column, x in (("item", f.s), ("property", f.p), *([("context", context)] if isinstance(context, Var) else [])):
             if isinstance(x, Iri):
                 rows = rows.where(F.col(column) == x.value)
             elif x.name in bound:
@@ -325,11 +327,11 @@ class Engine:
         if isinstance(f.params.get("time"), Lit) and op is None:
             rows, limit = in_range(rows, int(constant("time")), int(constant("time"))), 0
         if varied:
-            rows, extra = self.varied(f, rows, now, keys, varied, limit), list(varied.values())
+            rows, extra = self.varied(f, rows, now, keys, varied, limit, interval, op, isinstance(context, Var)), list(varied.values())
         else:
             extra = []
             if op:
-                rows = aggregate(rows, str(op).rpartition("/")[2].rpartition("#")[2].rpartition(":")[2], interval, limit)
+                rows = aggregate(rows, re.split("[/#:]", str(op))[-1], interval, limit)
             elif interval > 0:
                 rows = sample(rows, interval, limit)
             else:
@@ -339,7 +341,7 @@ class Engine:
             rows = rows.withColumn("idx", (F.row_number().over(partition) - 1).cast("long"))
         out: dict[str, Column] = {}
         test = F.lit(True)
-        fields = {"item": f.s, "property": f.p, **{k: f.params[k] for k in ("time", "seqNr", "index", "value", "valueJson") if k in f.params}}
+        fields = {"item": f.s, "property": f.p, **({"context": context} if isinstance(context, Var) else {}), **{k: f.params[k] for k in ("time", "seqNr", "index", "value", "valueJson") if k in f.params}}
         for k, x in fields.items():
             col = {"index": F.col("idx") if "idx" in rows.columns else None, "value": text(), "valueJson": text()}.get(k, F.col(k) if k in rows.columns else None)
             if k == "seqNr":
@@ -361,12 +363,13 @@ class Engine:
         df = rows.select(*[col.alias(n) for n, col in out.items()], *[c(p).alias(n) for p, n in names.items() if n not in out])
         return self.join(now, Solutions(df))
 
-    def varied(self, f: Fetch, rows: DataFrame, now: Solutions, keys: dict[str, str], varied: dict[str, str], limit: int) -> DataFrame:
+    def varied(self, f: Fetch, rows: DataFrame, now: Solutions, keys: dict[str, str], varied: dict[str, str], limit: int, interval: int, op: str | None, across: bool) -> DataFrame:
         """Values for each choice of parameters that the solutions bring; these are added as _p_<variable>."""
         chosen = list(dict.fromkeys([*keys.values(), *varied.values()]))
         given = now.df.select(*[c(n).alias(f"_p_{n}") for n in chosen]).dropna().distinct()
         number = lambda k: c(f"_p_{varied[k]}").cast("long")
-        if set(varied) == {"to"} and limit == 1 and "property" not in keys and isinstance(f.p, Iri) and (isinstance(f.s, Iri) or "item" in keys):
+        plain = not op and interval <= 0 and not {"interval", "op"} & varied.keys()
+        if plain and set(varied) == {"to"} and limit == 1 and "property" not in keys and not across and isinstance(f.p, Iri) and (isinstance(f.s, Iri) or "item" in keys):
             left = given.withColumn("time", number("to")).withColumn("item", c(f"_p_{keys['item']}") if keys else F.lit(f.s.value))
             rest = [x for x in rows.columns if x not in ("item", "time", "year", "week")]
             found = asof_join(left, rows, ["item"], rest)
@@ -379,9 +382,23 @@ class Engine:
         if "to" in varied:
             test = test & (F.col("time") <= number("to"))
         each = Window.partitionBy("context", "item", "property", *[c(f"_p_{n}") for n in chosen]).orderBy(*newest())
-        found = rows.join(given, test).withColumn("_n", F.row_number().over(each))
         most = number("limit") if "limit" in varied else F.lit(limit)
-        return found.where((most <= 0) | (F.col("_n") <= most)).drop("_n")
+        step = number("interval") if "interval" in varied else F.lit(interval)
+        # keys first: a key's rows meet only its own choices of parameters
+        kept = lambda given: rows.join(given, test)
+        newest_few = lambda df: df.withColumn("_n", F.row_number().over(each)).where((most <= 0) | (F.col("_n") <= most)).drop("_n")
+        if plain:
+            return newest_few(kept(given))
+        by = tuple(f"_p_{n}" for n in chosen)
+        if "op" in varied:
+            named = F.lower(F.regexp_extract(c(f"_p_{varied['op']}"), "([^/#:]*)$", 1))
+            known = given.where(F.when(named.isin(*OPS), True).otherwise(F.raise_error(F.concat(F.lit("unknown op "), named)).cast("boolean")))
+            return reduce(DataFrame.unionByName, (aggregate(kept(known.where(named == x)), x, step, most, by) for x in OPS))
+        if op:
+            return aggregate(kept(given), re.split("[/#:]", str(op))[-1], step, most, by)
+        columns = [*COLUMNS[:5], *VALUES, *by]
+        sampled = aggregate(kept(given.where(step > 0)), "first", step, most, by)
+        return sampled.select(*columns).unionByName(newest_few(kept(given.where(step <= 0))).select(*columns))
 
     def navigate(self, t: Triple, now: Solutions) -> Solutions:
         """A statement about a record or an array."""

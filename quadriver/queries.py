@@ -503,3 +503,20 @@ def gp_minus(spark, d):
 @query(f"WITH {EVENTS}, a AS (SELECT * FROM ev WHERE property = 'urn:event:click'), b AS (SELECT DISTINCT item, time FROM ev WHERE property = 'urn:event:view') SELECT a.item, a.time, b.time AS before FROM a ASOF JOIN b ON a.item = b.item AND a.time >= b.time")
 def gp_asof(spark, d):
     return _ask(spark, d, "select ?item ?time ?before { service <ts:> { ?item <urn:event:click> [ <ts:time> ?time ] . ?item <urn:event:view> [ <ts:to> ?time ; <ts:limit> 1 ; <ts:time> ?before ] } }")
+
+
+@query(f"""WITH {EVENTS} SELECT item, property, time - time % {DAY} AS time, round(avg(value), 6) AS value FROM ev WHERE property = 'urn:event:click' GROUP BY ALL
+UNION ALL SELECT item, property, time - time % {2 * DAY} AS time, max(value) AS value FROM ev WHERE property = 'urn:event:view' GROUP BY ALL""")
+def gp_interval_op(spark, d):
+    choice = f'values (?property ?step ?how) {{ (<urn:event:click> {DAY} "avg") (<urn:event:view> {2 * DAY} "max") }}'
+    asked = "service <ts:> { ?item ?property [ <ts:interval> ?step ; <ts:op> ?how ; <ts:time> ?time ; <ts:value> ?value ] }"
+    return _ask(spark, d, f"select ?item ?property ?time ?value {{ {choice} {asked} }}").withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@query(f"""WITH {EVENTS}, k AS (SELECT CASE WHEN "seqNr" % 2 = 0 THEN 'urn:a' ELSE 'urn:b' END AS g, * FROM ev),
+l AS (SELECT g, item, property, max(time) AS time FROM k GROUP BY ALL)
+SELECT a.g, a.item, a.time, b.time AS other FROM l a JOIN l b USING (g, item) WHERE a.property = 'urn:event:click' AND b.property = 'urn:event:view'""")
+def gp_graph(spark, d):
+    rows = ev(spark, d).withColumn("context", F.when(F.col("seqNr") % 2 == 0, "urn:a").otherwise("urn:b"))
+    asked = "graph ?g { ?item <urn:event:click> [ <ts:limit> 1 ; <ts:time> ?time ] . ?item <urn:event:view> [ <ts:limit> 1 ; <ts:time> ?other ] }"
+    return Engine(spark, {"ts:": rows}).query(f"select ?g ?item ?time ?other {{ service <ts:> {{ {asked} }} }}")

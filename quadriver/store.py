@@ -29,10 +29,13 @@ UNITS = {"ns": 1e-6, "us": 1e-3, "ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with rows in the shared checkpoint folder (spark.checkpoint.dir; a temporary one if unset)."""
+    """Cut the lineage with rows in the shared checkpoint folder (spark.checkpoint.dir; only a local session may do without, and gets a temporary one)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadriver-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quadriver-"))
     return df.checkpoint(eager=True)
 
 
@@ -52,13 +55,13 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def raw(self) -> DataFrame:
-        """All versions, with ingest_ts, year and week; a missing or broken file is passed over."""
+    def raw(self, strict: bool = False) -> DataFrame:
+        """All versions, with ingest_ts, year and week; a missing or broken file is passed over, unless strict."""
         schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in TUPLE)}, ingest_ts bigint, year int, week int"
         self._recover()
         if not self._exists(self.path):
             return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(schema).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+        reader = self.spark.read.schema(schema).option("ignoreMissingFiles", not strict).option("ignoreCorruptFiles", not strict)
         return reader.parquet(self.path)
 
     def read(self, begin: int | None = None, end: int | None = None) -> DataFrame:
@@ -166,13 +169,16 @@ class Store:
         return sorted((y, w, n) for (y, w), n in counts.items())
 
     def compact(self, least_files: int = 3) -> int:
-        """Rewrite partitions of many files: one version of each value, no tombstones.  How many were rewritten."""
+        """Rewrite partitions of many files: one version of each value, no tombstones.  How many were rewritten.
+
+        A file that cannot be read is an error here, as the files that were read go.
+        """
         busy = [(y, w) for y, w, n in self.weeks() if n >= least_files]
         if busy:
             parts = {f"year={y}/week={w}" for y, w in busy}
             old = [f"{self.path}/{part}/{name}" for part, name in self._files(self.path) if part in parts]
             chosen = F.array(*[F.lit(y * 100 + w) for y, w in busy])
-            rows = self.raw().where(F.array_contains(chosen, F.col("year") * 100 + F.col("week")))
+            rows = self.raw(strict=True).where(F.array_contains(chosen, F.col("year") * 100 + F.col("week")))
             self._write(last_write_wins(rows).where("v_type <> 'deleted'").select(*COLUMNS, "ingest_ts"), old)
         return len(busy)
 

@@ -135,3 +135,42 @@ def test_malformed(text):
 def test_unbound_parameter(engine):
     with pytest.raises(ValueError):
         engine.query("select * { service <ts:> { <item-1> <property:value> [ <ts:limit> ?n ; <ts:value> ?v ] } }", BASE)
+
+
+def test_interval_and_op_from_variables(engine):
+    # item-60 holds 0..5 at 1000..1005, item-61 holds 100..105
+    ask = "select * { values (?item ?step ?how) { %s } service <ts:> { ?item <property:both> [ <ts:interval> ?step ; <ts:op> ?how ; <ts:time> ?t ; <ts:value> ?v ] } }"
+    rows = got(engine, ask % '(<item-60> 2 "sum") (<item-61> 3 "max") (<item-61> 4 <http://x/avg>)', "item", "how", "t", "v")
+    sums = [(name(60), "sum", t, str(2 * (t - 1000) + 1)) for t in (1000, 1002, 1004)]
+    most = [(name(61), "max", 999, "101.0"), (name(61), "max", 1002, "104.0"), (name(61), "max", 1005, "105.0")]
+    mean = [(name(61), "http://x/avg", 1000, "101.5"), (name(61), "http://x/avg", 1004, "104.5")]
+    assert [r for r in rows if r[1] == "sum"] == sums
+    assert [(*r[:3], str(float(r[3]))) for r in rows if r[1] == "max"] == most
+    assert [r for r in rows if "avg" in r[1]] == mean
+    with pytest.raises(Exception, match="unknown op"):
+        got(engine, ask % '(<item-60> 2 "median")', "v")
+
+
+def test_interval_from_a_variable_samples(engine):
+    ask = "select * { values (?item ?step) { (<item-60> 4) (<item-61> 0) } service <ts:> { ?item <property:both> [ <ts:interval> ?step ; <ts:limit> 2 ; <ts:time> ?t ; <ts:value> ?v ] } }"
+    assert got(engine, ask, "item", "t", "v") == [(name(60), 1000, "3"), (name(60), 1004, "5"), (name(61), 1004, "104"), (name(61), 1005, "105")]
+
+
+def test_op_with_a_range_from_variables(engine):
+    ask = 'select * { values (?item ?end) { (<item-60> 1003) } service <ts:> { ?item <property:both> [ <ts:to> ?end ; <ts:op> "sum" ; <ts:value> ?v ] } }'
+    assert got(engine, ask, "v") == [("6",)]
+
+
+def test_graph_of_a_variable(spark):
+    rows = [row("urn:i", f"urn:{p}", t, 0, t, context) for context, p, t in (("urn:a", "x", 1), ("urn:a", "y", 2), ("urn:b", "x", 3), ("urn:b", "y", 4), ("urn:c", "x", 5))]
+    engine = Engine(spark, {"ts:": created(spark, rows)})
+    both = "graph ?g { <urn:i> <urn:x> [ <ts:time> ?a ] . <urn:i> <urn:y> [ <ts:time> ?b ] }"
+    assert got(engine, f"select * {{ service <ts:> {{ {both} }} }}", "g", "a", "b") == [("urn:a", 1, 2), ("urn:b", 3, 4)]
+    assert got(engine, f"select * {{ values ?g {{ <urn:b> }} service <ts:> {{ {both} }} }}", "g", "a", "b") == [("urn:b", 3, 4)]
+    asof = "values (?g ?end) { (<urn:a> 9) (<urn:c> 9) } service <ts:> { graph ?g { <urn:i> <urn:x> [ <ts:to> ?end ; <ts:limit> 1 ; <ts:time> ?t ] } }"
+    assert got(engine, f"select * {{ {asof} }}", "g", "t") == [("urn:a", 1), ("urn:c", 5)]
+    assert got(engine, "select * { service <ts:> { <urn:i> <urn:x> [ <ts:time> ?a ] } }", "a") == []
+
+
+def test_encoded_names(engine):
+    assert got(engine, 'select * { values ?x { "a b*~/" } bind(encode_for_uri(?x) as ?y) }', "y") == [("a%20b%2A~%2F",)]
