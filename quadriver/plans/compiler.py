@@ -28,6 +28,7 @@ from ..operators import catalog
 from ..operators.fetch import OPS, aggregate, in_range, newest, newest_of_series, sample, series
 from ..operators.joins import asof_join
 from ..schema import COLUMNS, DEFAULT_CONTEXT, NAMESPACE, VALUES, num, text
+from ..sources.remote import RemoteValues, asked
 from . import parser as ast
 from .parser import RDF, Call, Iri, Lit, Query, Triple, Var, parse
 
@@ -71,8 +72,27 @@ def variables(x: object) -> set[str]:
     return set()
 
 
+@dataclass
+class Remote:
+    """Values behind a URL."""
+
+    spark: SparkSession
+    url: str
+    columns = COLUMNS
+
+    def rows(self, items: str | DataFrame | None, query: dict[str, str]) -> DataFrame:
+        """Values of one item, of a table of items (asked for by the tasks that hold them), or of all."""
+        if isinstance(items, DataFrame):
+            return asked(items, self.url, query)
+        self.spark.dataSource.register(RemoteValues)
+        return self.spark.read.format("remote_values").options(url=self.url, **({"items": items} if items else {}), **query).load()
+
+
 class Engine:
-    """Named data: services by URL (values, or triples s, p, o), and the triples of the default graph."""
+    """Named data: services by URL (values, or triples s, p, o), and the triples of the default graph.
+
+    The namespace followed by an http or https URL names a remote service; its values lie at <URL>/values.
+    """
 
     def __init__(self, spark: SparkSession, services: dict[str, DataFrame], triples: DataFrame | None = None, namespace: str = NAMESPACE):
         self.spark, self.services, self.triples, self.namespace = spark, services, triples, namespace
@@ -174,10 +194,12 @@ class Engine:
             return self.group(p.group, now, data, p.context)
         return self.group(p, now, data, context)
 
-    def service(self, url: object) -> DataFrame:
-        if not isinstance(url, Iri) or url.value not in self.services:
-            raise ValueError(f"unknown service {url}")
-        return self.services[url.value]
+    def service(self, url: object) -> DataFrame | Remote:
+        if isinstance(url, Iri) and url.value in self.services:
+            return self.services[url.value]
+        if isinstance(url, Iri) and re.match("https?://", where := url.value.removeprefix(self.namespace)) and where != url.value:
+            return Remote(self.spark, where.rstrip("/") + "/values")
+        raise ValueError(f"unknown service {url}")
 
     def values(self, v: ast.Values) -> Solutions:
         plain = lambda x: None if x is None else str(x.value).lower() if isinstance(x.value, bool) else str(x.value)
@@ -313,6 +335,16 @@ class Engine:
         varied = {k: f.params[k].name for k in ("from", "to", "limit", "interval", "op") if isinstance(f.params.get(k), Var)}
         if missing := set(varied.values()) - (set(now.df.columns) if now else set()):
             raise ValueError(f"parameters are not bound: {', '.join(sorted(missing))}")
+        if isinstance(data, Remote):
+            if isinstance(context, Var):
+                raise ValueError("a remote graph needs an IRI")
+            query = {} if context is None else {"model": context}
+            query |= {"properties": f.p.value} if isinstance(f.p, Iri) else {}
+            query |= {k: str(constant(k)) for k in ("from", "to") if constant(k) is not None}
+            if constant("limit") and not varied and not f.params.keys() & {"interval", "op", "time"}:
+                query["limit"] = str(constant("limit"))
+            known = isinstance(f.s, Var) and f.s.name in bound
+            data = data.rows(f.s.value if isinstance(f.s, Iri) else now.df.select(c(f.s.name).alias("item")).distinct() if known else None, query)
         rows = data if isinstance(context, Var) else data.where(F.col("context") == (context or DEFAULT_CONTEXT))
         keys: dict[str, str] = {}
         for column, x in (("item", f.s), ("property", f.p), *([("context", context)] if isinstance(context, Var) else [])):

@@ -11,7 +11,9 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,6 +47,18 @@ def fetch_text(url: str, query: dict[str, str], timeout: float = 60) -> str | No
         raise
 
 
+def asked(items: DataFrame, url: str, query: dict[str, str]) -> DataFrame:
+    """Values of each item of a table (column item); the tasks that hold the items ask for them, a request an item."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item in batch["item"].dropna():
+                if text := fetch_text(url, {**query, "item": item}):
+                    yield pd.DataFrame({"value": [text]})
+
+    return parsed(items.select("item").mapInPandas(ask, "value string"), partial(parse, context=query.get("model")))
+
+
 class RemoteReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = dict(options)

@@ -1,6 +1,10 @@
 """Graph patterns against plain Python expectations."""
 
+import http.server
+import json
 import random
+import threading
+import urllib.parse
 
 import pytest
 
@@ -174,3 +178,38 @@ def test_graph_of_a_variable(spark):
 
 def test_encoded_names(engine):
     assert got(engine, 'select * { values ?x { "a b*~/" } bind(encode_for_uri(?x) as ?y) }', "y") == [("a%20b%2A~%2F",)]
+
+
+def test_remote_services(engine):
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = urllib.parse.parse_qs(urllib.parse.urlsplit(self.path).query)
+            seen.append(asked)
+            held = {name(i): {"property:value": [{"time": t, "value": t + i} for t in (3, 2, 1)]} for i in (1, 2)}
+            item = asked.get("item", [None])[0]
+            held = {i: v for i, v in held.items() if item in (None, i)}
+            self.send_response(200 if held and self.path.startswith("/top/values") else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps(held).encode() if held else b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    service = f"service <ts:http://127.0.0.1:{server.server_port}/top>"
+    assert got(engine, f"select * {{ {service} {{ <item-1> <property:value> [ <ts:limit> 1 ; <ts:value> ?v ] }} }}", "v") == [("4",)]
+    assert all(s == {"item": [name(1)], "properties": ["property:value"], "limit": ["1"]} for s in seen) and seen
+    seen.clear()
+    local = "service <ts:> { ?item <property:value> [ <ts:limit> 1 ; <ts:time> ?t ] } filter(?item != <item-9>)"
+    two = f"values ?item {{ <item-1> <item-2> <item-3> }} {service} {{ ?item <property:value> [ <ts:to> 2 ; <ts:limit> 1 ; <ts:value> ?v ] }}"
+    assert got(engine, f"select * {{ {two} {local} }}", "item", "v") == [(name(1), "3"), (name(2), "4")]
+    assert {s["item"][0] for s in seen} == {name(1), name(2), name(3)}
+    maybe = f"values ?item {{ <item-1> <item-3> }} optional {{ {service} {{ ?item <property:value> [ <ts:limit> 1 ; <ts:value> ?v ] }} }}"
+    assert got(engine, f"select * {{ {maybe} }}", "item", "v") == [(name(1), "4"), (name(3), None)]
+    assert len(got(engine, f"select * {{ {service} {{ ?item <property:value> [ <ts:value> ?v ] }} }}", "item")) == 6
+    with pytest.raises(ValueError, match="unknown service"):
+        engine.query("select * { service <http://127.0.0.1/other> { ?item <property:value> [ <ts:value> ?v ] } }")
+    server.shutdown()
