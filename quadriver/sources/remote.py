@@ -7,6 +7,7 @@ posted as a form; 404 means no values, any other failure fails the task.
 
 from __future__ import annotations
 
+import json
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import TUPLE
+from ..schema import DEFAULT_CONTEXT, TUPLE
 from .lf_json import parse
 from .values import parsed
 
@@ -89,6 +90,36 @@ class RemoteValues(DataSource):
         return RemoteReader(self.options)
 
 
+def put(df: DataFrame, url: str, batch: int = 10_000) -> int:
+    """Post values to an endpoint, in documents of at most batch values; how many.
+
+    A task that runs again posts its values again, which replace themselves.  A context other than the default one is
+    named as model.  Any failure fails the task.
+    """
+    from .lf_json import _json_value
+
+    one = F.concat(F.lit('{"time":'), "time", F.lit(',"seqNr":'), "seqNr", F.lit(',"value":'), _json_value(), F.lit("}"))
+
+    def send(context: str, part: pd.DataFrame) -> None:
+        held: dict[str, dict[str, list[str]]] = {}
+        for item, prop, text in zip(part["item"], part["property"], part["one"], strict=True):
+            held.setdefault(item, {}).setdefault(prop, []).append(text)
+        of = lambda props: ",".join(f"{json.dumps(p)}:[{','.join(xs)}]" for p, xs in props.items())
+        body = "{" + ",".join(f"{json.dumps(i)}:{{{of(props)}}}" for i, props in held.items()) + "}"
+        where = url if context == DEFAULT_CONTEXT else f"{url}?{urllib.parse.urlencode({'model': context})}"
+        urllib.request.urlopen(urllib.request.Request(where, body.encode(), {"Content-Type": "application/json"}), timeout=60).close()
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for context, part in rows.groupby("context", sort=False):
+                for at in range(0, len(part), batch):
+                    send(context, part.iloc[at : at + batch])
+            yield pd.DataFrame({"n": [len(rows)]})
+
+    rows = df.select(F.coalesce("context", F.lit(DEFAULT_CONTEXT)).alias("context"), "item", "property", one.alias("one"))
+    return rows.mapInPandas(post, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def topic_item(topic: Column) -> Column:
     """Item of a topic LF/<sender>/<authority>/<path>; null for other topics."""
     pattern = r"^LF/[^/]+/([^/]+)/(.*)"

@@ -307,3 +307,34 @@ def test_contexts_and_numbers(spark):
     assert rows(fetch.in_contexts(df, ["urn:a", "urn:b"]), "property", "v_long") == [("urn:p", 1), ("urn:q", 2)]
     assert fetch.fetch(df).count() == 0 and fetch.fetch(df.withColumn("context", F.lit(DEFAULT_CONTEXT))).count() == 3
     assert df.select(F.sum(num())).first()[0] == 6.0
+
+
+def test_put_to_an_endpoint(spark):
+    posted = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            posted.append((self.path, self.headers["Content-Type"], body))
+            self.send_response(500 if "urn:bad" in body else 200)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/values"
+    values = [1, 2.5, 'a"ü', True, [1, {"k": 2}], {"@id": "urn:x"}]
+    data = [row(f"urn:i{n % 2}", 'urn:p"', n, n, v) for n, v in enumerate(values)] + [row("urn:i0", "urn:q", 9, 0, 9, "urn:c")]
+    df = created(spark, data)
+    assert remote.put(df, url, batch=2) == 7
+    assert {kind for _, kind, _ in posted} == {"application/json"} and all(body.count('"time"') <= 2 for _, _, body in posted)
+    assert [path for path, _, body in posted if "urn:q" in body] == ["/values?model=urn%3Ac"]
+    back = [r for path, _, body in posted for r in lf_json.parse(body, context="urn:c" if "model" in path else None)]
+    columns = ("context", "item", "property", "time", "seqNr", "v_type", "v_long", "v_double", "v_string", "v_bool", "v_json")
+    assert rows(created(spark, back), *columns) == rows(df, *columns)
+    assert remote.put(df.limit(0), url) == 0
+    with pytest.raises(Exception, match="500"):
+        remote.put(created(spark, [row("urn:bad", "urn:p", 1, 0, 1)]), url)
+    server.shutdown()
