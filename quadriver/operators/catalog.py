@@ -37,17 +37,20 @@ def hierarchy_edges(items: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, source: str = "s", target: str = "o", zero: bool = False, most_rounds: int = 200) -> DataFrame:
-    """Pairs joined by one or more edges; zero: also each node with itself.  Paths double in length every round."""
+    """Pairs joined by one or more edges; zero: also each node with itself.
+
+    Paths double in length every round, and only the pairs that the last round found are extended: a shortest path of
+    more than n and at most 2 n edges begins with one of n edges, which was new when paths of n edges were found.
+    """
     from ..store import checkpointed
 
-    reach = checkpointed(edges.select(F.col(source).alias("s"), F.col(target).alias("o")).distinct())
-    known = reach.count()
+    reach = new = checkpointed(edges.select(F.col(source).alias("s"), F.col(target).alias("o")).distinct())
     for _ in range(most_rounds):
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
-        reach = checkpointed(reach.union(longer).distinct())
-        if (n := reach.count()) == known:
+        longer = new.alias("a").join(reach.alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o").distinct()
+        new = checkpointed(longer.join(reach, ["s", "o"], "left_anti"))
+        if new.isEmpty():
             break
-        known = n
+        reach = reach.union(new)
     else:
         raise ValueError(f"the closure is not complete after {most_rounds} rounds")
     if zero:

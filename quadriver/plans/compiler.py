@@ -27,8 +27,10 @@ from ..functions.values import AGGREGATES, STANDARD
 from ..operators import catalog
 from ..operators.fetch import OPS, aggregate, in_range, newest, newest_of_series, sample, series
 from ..operators.joins import asof_join
-from ..schema import COLUMNS, DEFAULT_CONTEXT, NAMESPACE, VALUES, num, text
+from ..schema import COLUMNS, DEFAULT_CONTEXT, NAMESPACE, VALUES, num, text, value
+from ..sources import shells
 from ..sources.remote import RemoteValues, asked
+from ..store import Store, checkpointed
 from . import parser as ast
 from .parser import RDF, Call, Iri, Lit, Query, Triple, Var, parse
 
@@ -91,11 +93,13 @@ class Remote:
 class Engine:
     """Named data: services by URL (values, or triples s, p, o), and the triples of the default graph.
 
-    The namespace followed by an http or https URL names a remote service; its values lie at <URL>/values.
+    The namespace followed by an http or https URL names a remote service; its values lie at <URL>/values.  aas-api: and
+    such a URL names the administration shells behind it, read once for each engine.
     """
 
-    def __init__(self, spark: SparkSession, services: dict[str, DataFrame], triples: DataFrame | None = None, namespace: str = NAMESPACE):
-        self.spark, self.services, self.triples, self.namespace = spark, services, triples, namespace
+    def __init__(self, spark: SparkSession, services: dict[str, DataFrame], triples: DataFrame | None = None, namespace: str = NAMESPACE, span: int = 0):
+        """span: milliseconds by which as-of joins split the series (0: not at all), for series too long for one task."""
+        self.spark, self.services, self.triples, self.namespace, self.span = spark, services, triples, namespace, span
 
     def query(self, text_: str, base: str = "") -> DataFrame:
         return self.run(parse(text_, base))
@@ -104,9 +108,38 @@ class Engine:
         return not self.run(parse(text_, base)).isEmpty()
 
     def run(self, q: Query) -> DataFrame:
+        """Rows of bindings; of a construct the triples s, p, o."""
+        if q.insert is not None:
+            raise ValueError("an insert is an update")
+        if q.construct is not None:
+            return instances(q.construct.parts, self.solve(q).df).select("s", "p", "o").distinct()
         df = self.solve(q).df
         return df.limit(1) if q.ask else df
 
+    def update(self, text_: str, base: str = "", store: Store | None = None, now: int = 0) -> None:
+        """insert: triples go to the default graph; those of a graph in the engine's namespace are values and go to the store.
+
+        Such a graph's IRI is the namespace and the context's own IRI; the namespace alone is the default context.  Values
+        without a time get now.
+        """
+        q = parse(text_, base)
+        if q.insert is None:
+            raise ValueError("an update is an insert")
+        df = self.solve(q).df
+        values = [p for p in q.insert.parts if isinstance(p, ast.Graph)]
+        for p in values:
+            if not isinstance(p.context, Iri) or not p.context.value.startswith(self.namespace):
+                raise ValueError(f"unknown graph {p.context}")
+            if store is None:
+                raise ValueError("no store is given")
+            context = p.context.value.removeprefix(self.namespace)
+            rows = to_values(checkpointed(instances(p.group.parts, df).distinct()), self.namespace, now)
+            store.put(rows.withColumn("context", F.lit(context)) if context else rows)
+        if plain := [p for p in q.insert.parts if p not in values]:
+            new = checkpointed(instances(plain, df).distinct())
+            new = new.select("s", "p", "o")
+            self.triples = new if self.triples is None else self.triples.select("s", "p", "o").union(new).distinct()
+
     # queries
     def solve(self, q: Query, seed: Solutions | None = None, data: DataFrame | None = None, context: str | Var | None = None) -> Solutions:
         found = self.group(q.group, seed, data, context) or Solutions(self.spark.range(1).select())
@@ -197,6 +230,8 @@ class Engine:
     def service(self, url: object) -> DataFrame | Remote:
         if isinstance(url, Iri) and url.value in self.services:
             return self.services[url.value]
+        if isinstance(url, Iri) and re.match("https?://", where := url.value.removeprefix(shells.API)) and where != url.value:
+            return self.services.setdefault(url.value, shells.read(self.spark, where))
         if isinstance(url, Iri) and re.match("https?://", where := url.value.removeprefix(self.namespace)) and where != url.value:
             return Remote(self.spark, where.rstrip("/") + "/values")
         raise ValueError(f"unknown service {url}")
@@ -211,8 +246,13 @@ class Engine:
         if a is None or b is None:
             return a or b
         shared = [n for n in a.df.columns if n in b.df.columns]
-        right = b.df.select(*[c(n).alias(f"_r_{n}" if n in shared else n) for n in b.df.columns])
         kinds = dict(a.df.dtypes), dict(b.df.dtypes)
+        if shared and all(n in a.maybe or n in b.maybe for n in shared) and not (how == "left" and shared[0] in b.maybe):
+            return self.apart(a, b, shared[0], how)
+        if not shared and how == "left":  # a product; without rows on the right the left ones stay
+            alone = a.df.join(b.df.limit(1).select(), F.lit(True), "left_anti")
+            return Solutions(a.df.crossJoin(b.df).unionByName(alone, allowMissingColumns=True), a.maybe | set(b.df.columns))
+        right = b.df.select(*[c(n).alias(f"_r_{n}" if n in shared else n) for n in b.df.columns])
         test, loose = F.lit(True), set()
         for n in shared:
             x, y = c(n), c(f"_r_{n}")
@@ -229,6 +269,23 @@ class Engine:
         maybe = a.maybe | b.maybe if how == "inner" else a.maybe | (set(b.df.columns) - set(shared)) | loose
         return Solutions(df, maybe - ({n for n in loose if n not in a.maybe or n not in b.maybe} if how == "inner" else set()))
 
+    def apart(self, a: Solutions, b: Solutions, name: str, how: str) -> Solutions:
+        """A join whose shared variables can all be unbound: rows with and without the variable join apart, so that the former meet on a key."""
+        has = lambda s, bound: Solutions(s.df.where(c(name).isNotNull() if bound else c(name).isNull()), s.maybe - {name})
+        without = lambda s: Solutions(has(s, False).df.drop(name), s.maybe - {name})
+        parts = []
+        if name in a.maybe:
+            parts.append((without(a), b))
+        if name in b.maybe:
+            parts.append((has(a, True), without(b)))
+        parts.append((has(a, True) if name in a.maybe else a, has(b, True) if name in b.maybe else b))
+        kind = dict(a.df.dtypes)[name]
+        found = [self.join(x, y, how).df.withColumn(name, c(name).cast(kind)) for x, y in parts]
+        columns = [*a.df.columns, *[n for n in b.df.columns if n not in a.df.columns]]
+        df = reduce(DataFrame.unionByName, (x.select(*map(c, columns)) for x in found))
+        always = (set(a.df.columns) - a.maybe) | ((set(b.df.columns) - b.maybe) if how == "inner" else set())
+        return Solutions(df, set(columns) - always)
+
     def optional(self, now: Solutions | None, g: ast.Group, data: DataFrame | None, context: str | Var | None) -> Solutions:
         needed = _parameters(g, self.namespace) & set(now.df.columns)
         seed = Solutions(now.df.select(*map(c, sorted(needed))).distinct()) if needed else None
@@ -404,7 +461,7 @@ class Engine:
         if plain and set(varied) == {"to"} and limit == 1 and "property" not in keys and not across and isinstance(f.p, Iri) and (isinstance(f.s, Iri) or "item" in keys):
             left = given.withColumn("time", number("to")).withColumn("item", c(f"_p_{keys['item']}") if keys else F.lit(f.s.value))
             rest = [x for x in rows.columns if x not in ("item", "time", "year", "week")]
-            found = asof_join(left, rows, ["item"], rest)
+            found = asof_join(left, rows, ["item"], rest, span=self.span)
             return found.select("item", *[c(f"_p_{n}") for n in chosen], F.col("r_time").alias("time"), *[F.col(f"r_{x}").alias(x) for x in rest])
         test = F.lit(True)
         for column, n in keys.items():
@@ -517,6 +574,27 @@ class Engine:
         return STANDARD[name](*given), kind
 
 
+def instances(template: list, df: DataFrame) -> DataFrame:
+    """The triples s, p, o, o_type (uri, string or any) of a template for each solution; one with an unbound term is left out.  Nodes without a name are new for each solution."""
+    if any(not isinstance(t, Triple) or not isinstance(t.p, (Iri, Var)) for t in template):
+        raise ValueError("a template holds plain statements only")
+    whole = F.sha2(F.to_json(F.struct(*map(c, df.columns)), {"ignoreNullFields": "false"}), 256) if df.columns else F.lit("")
+
+    def term(x: object) -> Column:
+        if not isinstance(x, Var):
+            return F.lit(str(x.value).lower() if isinstance(x.value, bool) else str(x.value))
+        if x.name in df.columns:
+            return c(x.name).cast("string")
+        return F.concat(F.lit(f"_:{x.name.lstrip('_')}-"), whole) if x.name.startswith("_") else F.lit(None).cast("string")
+
+    def kind(x: object) -> Column:
+        plain = isinstance(x, Lit) and isinstance(x.value, str)
+        return F.lit("uri" if isinstance(x, Iri) else "string" if plain else "any").alias("o_type")
+
+    each = F.array(*[F.struct(*[term(x).alias(n) for n, x in (("s", t.s), ("p", t.p), ("o", t.o))], kind(t.o)) for t in template])
+    return df.select(F.explode(each).alias("t")).select("t.s", "t.p", "t.o", "t.o_type").dropna()
+
+
 def _aggregates(e: object) -> bool:
     return isinstance(e, Call) and (e.name in AGGREGATES or any(map(_aggregates, e.args)))
 
@@ -547,12 +625,23 @@ def _parameters(x: object, namespace: str) -> set[str]:
 
 
 def to_values(triples: DataFrame, namespace: str = NAMESPACE, now: int = 0) -> DataFrame:
-    """Written triples (s, p, o, o_type) as rows of values: an object that is a node with a value brings time and seqNr."""
+    """Written triples (s, p, o, and maybe o_type) as rows of values: an object that is a node with a value brings time and seqNr.
+
+    Texts are typed by how they are written unless o_type says uri or string.
+    """
     from ..sources.csv_wide import typed_rows
 
-    part = lambda k: triples.where(F.col("p") == namespace + k).select(F.col("s").alias("o"), F.col("o").alias(k))
-    rows = triples.where(~F.col("p").startswith(namespace)).select(F.col("s").alias("item"), F.col("p").alias("property"), "o")
-    for k in ("value", "time", "seqNr"):
-        rows = rows.join(part(k), "o", "left")
-    rows = rows.select(F.lit(DEFAULT_CONTEXT).alias("context"), "item", "property", F.coalesce(F.col("time").cast("long"), F.lit(now).cast("long")).alias("time"), F.coalesce(F.col("seqNr").cast("int"), F.lit(0)).alias("seqNr"), F.coalesce("value", "o").alias("raw"))
-    return typed_rows(rows, "raw")
+    kind = F.col("o_type") if "o_type" in triples.columns else F.lit("any")
+    triples = triples.select("s", "p", "o", kind.alias("k"))
+    one = lambda k: F.max(F.when(F.col("p") == namespace + k, F.struct("o", "k")))
+    nodes = triples.where(F.col("p").isin([namespace + k for k in ("value", "time", "seqNr")]))
+    nodes = nodes.groupBy(F.col("s").alias("o")).agg(one("value").alias("v"), one("time")["o"].cast("long").alias("t"), one("seqNr")["o"].cast("int").alias("n"))
+    rows = triples.where(~F.col("p").startswith(namespace)).join(nodes, "o", "left")
+    rows = rows.select(
+        F.lit(DEFAULT_CONTEXT).alias("context"), F.col("s").alias("item"), F.col("p").alias("property"),
+        F.coalesce("t", F.lit(now).cast("long")).alias("time"), F.coalesce("n", F.lit(0)).alias("seqNr"),
+        F.coalesce("v.o", "o").alias("raw"), F.when(F.col("v").isNull(), F.col("k")).otherwise(F.col("v.k")).alias("k"),
+    )
+    said = rows.where("k in ('uri', 'string')")
+    said = said.select(*COLUMNS[:5], *value("string", F.col("raw")), "k").withColumn("v_type", F.col("k")).drop("k")
+    return typed_rows(rows.where("k = 'any'"), "raw").unionByName(said)

@@ -13,7 +13,8 @@ from .functions import records, values
 from .operators import catalog, fetch, joins, sets
 from .plans.compiler import Engine
 from .schema import COLUMNS, DEFAULT_CONTEXT, num, text, value_key
-from .sources import csv_wide, lf_json
+from .sources import csv_wide, lf_json, line_protocol
+from .sources.values import parsed
 from .store import Store, checkpointed, expiry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,6 +420,45 @@ def json_writer(spark, d):
     return written.select("item", chars.alias("chars"), F.size(back).cast("long").alias("n"))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    checkpointed(spark.range(0))  # sets the folder where it is unset
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {EVENTS} SELECT {COLS} FROM ev")
+def json_round_trip(spark, d):
+    """Values through the text of their documents."""
+    return shown(parsed(lf_json.written(ev(spark, d)).select("json"), lf_json.parse))
+
+
+@query("SELECT 'urn:user:' || user_id AS item, epoch_us(ts) // 1000 AS time, event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_record_round_trip(spark, d):
+    back = parsed(lf_json.written(views.event_records(spark, d)).select("json"), lf_json.parse)
+    return back.where("property = 'urn:props' and v_type = 'record'").select("item", "time", F.col("seqNr").cast("long").alias("event_id"), records.field(F.col("v_json"), "k").cast("long").alias("k"))
+
+
+@query(f"""WITH {EVENTS} SELECT item || ',b=c' AS item, property, time, value, NULL AS label FROM ev
+UNION ALL SELECT item || ',b=c', property, time, NULL, 'of = ' || item || ', a "quoted" one' FROM ev""")
+def line_round_trip(spark, d):
+    """Values through lines, with escapes in names and texts and either separator."""
+    rows = ev(spark, d)
+    body = lambda x, gap: F.concat("property", F.lit(",item="), "item", F.lit(r"\,b\=c" + gap + "value="), x, F.lit(gap), F.col("time") * 1_000_000)
+    label = F.concat(F.lit('"of = '), "item", F.lit(r', a \"quoted\" one"'))
+    lines = rows.select(F.explode(F.array(body(num().cast("string"), " "), body(label, "\t"))).alias("line"))
+    return parsed(lines, line_protocol.parse).select("item", "property", "time", num().alias("value"), F.col("v_string").alias("label"))
+
+
+@query(" UNION ALL ".join(f"SELECT 'urn:line' AS item, 'urn:{c}' AS property, {_LINES}, l_{c} AS value FROM lineitem" for c in ("quantity", "extendedprice", "discount")))
+def csv_round_trip(spark, d):
+    """Values through files of a wide table."""
+    path, names = _folder(spark, "csv"), ("quantity", "extendedprice", "discount")
+    line = views.table(spark, d, "lineitem")
+    at = F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("time")
+    line.select(at, (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seqNr"), *[F.col(f"l_{n}").alias(f"<urn:line>@<urn:{n}>") for n in names]).write.csv(path, header=True)
+    return shown(csv_wide.read(spark, path, "urn:line"))
+
+
 @query(f"WITH {EVENTS} SELECT c.item AS s, e.item, count(*) AS n FROM (SELECT DISTINCT 'urn:group:' || user_id % 10 AS item, 'urn:user:' || user_id AS o FROM events) c JOIN ev e ON e.item = c.o GROUP BY ALL")
 def structure_join(spark, d):
     rows = ev(spark, d)
@@ -428,8 +468,7 @@ def structure_join(spark, d):
 
 def _store(spark, name: str):
     """A new store in the shared checkpoint folder."""
-    checkpointed(spark.range(0))  # sets the folder where it is unset
-    return Store(spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+    return Store(spark, _folder(spark, name))
 
 
 def _raised(rows: DataFrame) -> DataFrame:
@@ -475,6 +514,17 @@ def store_archive(spark, d):
     return shown(sets.minus(sets.merged(hot.read().select(*COLUMNS), cold.read().select(*COLUMNS)), cold.read().select(*sets.PRIMARY)))
 
 
+_OLDEST = fetch._year_week(END - 7 * DAY)
+
+
+@query(f"WITH {EVENTS} SELECT {COLS} FROM ev WHERE year(make_timestamp(time * 1000)) * 100 + ceil(dayofyear(make_timestamp(time * 1000)) / 7) >= {_OLDEST[0] * 100 + _OLDEST[1]}")
+def store_retain(spark, d):
+    store = _store(spark, "retain")
+    store.put(ev(spark, d))
+    store.retain(END, 7 * DAY)
+    return shown(store.read())
+
+
 def _ask(spark, d, text_: str) -> DataFrame:
     return Engine(spark, {"ts:": ev(spark, d)}).query(text_)
 
@@ -520,3 +570,37 @@ def gp_graph(spark, d):
     rows = ev(spark, d).withColumn("context", F.when(F.col("seqNr") % 2 == 0, "urn:a").otherwise("urn:b"))
     asked = "graph ?g { ?item <urn:event:click> [ <ts:limit> 1 ; <ts:time> ?time ] . ?item <urn:event:view> [ <ts:limit> 1 ; <ts:time> ?other ] }"
     return Engine(spark, {"ts:": rows}).query(f"select ?g ?item ?time ?other {{ service <ts:> {{ {asked} }} }}")
+
+
+@query(f"""WITH {EVENTS}, {RANKED}, i AS (SELECT DISTINCT item FROM ev), e AS (SELECT item, time FROM ranked WHERE property = 'urn:event:error' AND rn = 1 AND value > 10),
+v AS (SELECT time, value FROM ranked WHERE item = 'urn:user:1' AND property = 'urn:event:view' AND rn <= 3)
+SELECT i.item, coalesce(e.time, v.time) AS at, v.value AS other FROM i LEFT JOIN e USING (item) LEFT JOIN v ON e.time IS NULL OR e.time = v.time""")
+def gp_optional_chain(spark, d):
+    """A second optional part over what the first may leave unbound; unbound agrees with all."""
+    rows = ev(spark, d)
+    engine = Engine(spark, {"ts:": rows}, rows.select(F.col("item").alias("s"), F.lit("urn:is").alias("p"), F.lit("urn:user").alias("o")).distinct())
+    first = "optional { service <ts:> { ?item <urn:event:error> [ <ts:limit> 1 ; <ts:time> ?at ; <ts:value> ?v ] } filter(?v > 10) }"
+    second = "optional { service <ts:> { <urn:user:1> <urn:event:view> [ <ts:limit> 3 ; <ts:time> ?at ; <ts:value> ?other ] } }"
+    found = engine.query(f"select ?item ?at ?other {{ ?item <urn:is> <urn:user> {first} {second} }}")
+    return found.withColumn("other", F.col("other").cast("double"))
+
+
+@query(f"WITH {EVENTS}, {RANKED}, l AS (SELECT * FROM ranked WHERE property = 'urn:event:click' AND rn = 1) SELECT item AS s, 'urn:last' AS p, time::VARCHAR AS o FROM l UNION ALL SELECT 'urn:users', 'urn:contains', item FROM l")
+def gp_construct(spark, d):
+    return _ask(spark, d, "construct { ?item <urn:last> ?time . <urn:users> <urn:contains> ?item } where { service <ts:> { ?item <urn:event:click> [ <ts:limit> 1 ; <ts:time> ?time ] } }")
+
+
+@query(f"WITH {EVENTS}, {RANKED} SELECT item, 'urn:last' AS property, time, 3::INT AS \"seqNr\", value FROM ranked WHERE property = 'urn:event:click' AND rn = 1")
+def gp_insert(spark, d):
+    """Values that a pattern finds, written to a store and read back."""
+    store, engine = _store(spark, "insert"), Engine(spark, {"ts:": ev(spark, d)})
+    found = "service <ts:> { ?item <urn:event:click> [ <ts:limit> 1 ; <ts:time> ?time ; <ts:value> ?value ] }"
+    engine.update(f"insert {{ graph <ts:> {{ ?item <urn:last> [ <ts:value> ?value ; <ts:time> ?time ; <ts:seqNr> 3 ] }} }} where {{ {found} }}", store=store)
+    return shown(store.read().withColumn("context", F.lit(DEFAULT_CONTEXT)))
+
+
+@query(f"""WITH RECURSIVE i AS ({_CUSTOMER_ITEM}), e AS (SELECT DISTINCT regexp_replace(item, '/[^/]*/[^/]*$', '') AS s, regexp_replace(item, '/[^/]*$', '') AS o FROM i UNION SELECT regexp_replace(item, '/[^/]*$', ''), item FROM i),
+r AS (SELECT s, o FROM e UNION SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT o AS item FROM r WHERE s = 'http://ex/ASIA'""")
+def gp_path(spark, d):
+    edges = catalog.hierarchy_edges(views.customer_items(spark, d)).select(F.col("parent").alias("s"), F.lit(catalog.CONTAINS).alias("p"), F.col("child").alias("o"))
+    return Engine(spark, {}, edges).query("select ?item { <http://ex/ASIA> <urn:contains>+ ?item }")

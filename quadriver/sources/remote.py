@@ -135,10 +135,11 @@ def messages(df: DataFrame, own: list[str] = ()) -> DataFrame:
     return parsed(of.select(F.concat(F.lit("{"), key, F.lit(":"), "payload", F.lit("}"))), parse)
 
 
-def published(df: DataFrame, sender: str) -> DataFrame:
-    """topic, payload of values, one message a value."""
+def published(df: DataFrame, sender: str, pattern: str | None = None) -> DataFrame:
+    """topic, payload of values, one message a value; with a pattern only of items that match it."""
     from .lf_json import _json_value, quoted
 
+    df = df if pattern is None else df.where(F.col("item").rlike(pattern))
     path = F.regexp_replace("item", "^https?://", "")
     payload = F.concat(F.lit("{"), quoted("property"), F.lit(':[{"time":'), "time", F.lit(',"value":'), _json_value(), F.lit("}]}"))
     return df.select(F.concat(F.lit(f"LF/{sender}/"), path).alias("topic"), payload.alias("payload"))

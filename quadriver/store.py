@@ -140,11 +140,12 @@ class Store:
         """Add or replace values."""
         self._write(rows.select(*COLUMNS).withColumn("ingest_ts", F.lit(self._version()).cast("long")))
 
-    def delete(self, item: str | None = None, property: str | None = None, context: str | None = None, begin: int | None = None, end: int | None = None) -> int:
-        """Hide the values that match all that is given; how many there were."""
+    def delete(self, item: str | None = None, property: str | None = None, context: str | None = None, begin: int | None = None, end: int | None = None, below: bool = False) -> int:
+        """Hide the values that match all that is given; how many there were.  below: also those of items below the item."""
         gone = self.read(begin, end)
         for name, x in (("item", item), ("property", property), ("context", context)):
-            gone = gone if x is None else gone.where(F.col(name) == x)
+            if x is not None:
+                gone = gone.where((F.col(name) == x) | F.col(name).startswith(x.rstrip("/") + "/") if below and name == "item" else F.col(name) == x)
         gone = checkpointed(gone)
         if n := gone.count():
             none = [F.lit("deleted").alias("v_type"), *[F.lit(None).cast(TUPLE[c].dataType).alias(c) for c in VALUES[1:]]]

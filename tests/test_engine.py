@@ -4,6 +4,7 @@ import http.server
 import json
 import random
 import threading
+import time as clock
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,11 +13,11 @@ from quadriver import api
 from quadriver.__main__ import main
 from quadriver.functions import records, values
 from quadriver.operators import catalog, fetch, joins, sets
-from quadriver.schema import DEFAULT_CONTEXT, num, text
-from quadriver.sources import csv_wide, documents, generator, lf_json, line_protocol, remote
+from quadriver.schema import DEFAULT_CONTEXT, HELD, num, text
+from quadriver.sources import csv_wide, documents, generator, lf_json, line_protocol, remote, results
 from quadriver.sources.values import created, row, typed
 from quadriver.store import Store, expiry_ms
-from quadriver.streaming import feed
+from quadriver.streaming import archival, feed
 
 SIX = [(1675324136198, 6.333333333333333), (1675324133196, 6.333333333333333), (1675324130194, 6.25), (1675324127192, 6.2), (1675324124192, 6.166666666666667), (1675324121191, 6.166666666666667)]
 DAY = 86_400_000
@@ -338,3 +339,56 @@ def test_put_to_an_endpoint(spark):
     with pytest.raises(Exception, match="500"):
         remote.put(created(spark, [row("urn:bad", "urn:p", 1, 0, 1)]), url)
     server.shutdown()
+
+
+def test_closure_of_a_cycle_and_a_long_chain(spark):
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(9)] + [("a", "b"), ("b", "c"), ("c", "a")]
+    found = {tuple(r) for r in catalog.closure(spark.createDataFrame(edges, "s string, o string")).collect()}
+    want = {(f"n{i}", f"n{j}") for i in range(10) for j in range(i + 1, 10)} | {(x, y) for x in "abc" for y in "abc"}
+    assert found == want
+    assert catalog.closure(spark.createDataFrame([], "s string, o string")).isEmpty()
+
+
+def test_generated_types(spark):
+    kinds = ("int", "long", "float", "double", "decimal", "string", "uri", "bool", "record", "array")
+    for kind in kinds:
+        rows = generator.generate(spark, 2, 2, 3, v_type=kind).collect()
+        assert len(rows) == 12 and {r.v_type for r in rows} == {kind} and all(r[HELD[kind]] is not None for r in rows)
+    with pytest.raises(ValueError):
+        generator.generate(spark, 1, 1, 1, v_type="other")
+
+
+def test_delete_below(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.put(created(spark, [row(i, "urn:p", 1, 0, 1.0) for i in ("http://x/a", "http://x/a/b", "http://x/a/b/c", "http://x/ab")]))
+    assert store.delete("http://x/a", below=True) == 3
+    assert [r.item for r in store.read().collect()] == ["http://x/ab"]
+
+
+def test_archival(spark, tmp_path):
+    hot, cold = Store(spark, str(tmp_path / "hot")), Store(spark, str(tmp_path / "cold"))
+    day = 86_400_000
+    hot.put(created(spark, [row("urn:i", "urn:p", t * day, 0, float(t)) for t in (1, 2, 30)]))
+    job = archival.Archival(hot, cold, "P7D", "PT0.2S")
+    assert job.once(now=35 * day) == 2 and job.once(now=35 * day) == 0
+    assert [r.time for r in hot.read().collect()] == [30 * day] and sorted(r.time for r in cold.read().collect()) == [day, 2 * day]
+    job.start()
+    for _ in range(300):
+        if job.moved:
+            break
+        clock.sleep(0.1)
+    job.stop()
+    assert job.moved == 1 and job.error is None and hot.read().isEmpty()
+    assert [archival.duration_ms(x) for x in ("P7D", "PT1H30M", "P1DT0.5S", "P2W")] == [7 * day, 5_400_000, day + 500, 14 * day]
+    for wrong in ("P", "PT", "7D", "P1M"):
+        with pytest.raises(ValueError):
+            archival.duration_ms(wrong)
+
+
+def test_typed_results(spark, tmp_path):
+    rows = [("1", "1.5", "true", "007", None, 3, "1"), ("20", "2", "false", "8", None, 4, "x"), (None, None, None, None, None, 5, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f long, `g.h` string")
+    results.write(df, str(tmp_path / "r"))
+    back = spark.read.parquet(str(tmp_path / "r"))
+    assert dict(back.dtypes) == {"a": "bigint", "b": "double", "c": "boolean", "d": "string", "e": "string", "f": "bigint", "g.h": "string"}
+    assert sorted((tuple(r) for r in back.collect()), key=lambda r: r[5]) == [(1, 1.5, True, "007", None, 3, "1"), (20, 2.0, False, "8", None, 4, "x"), (None, None, None, None, None, 5, None)]

@@ -8,9 +8,11 @@ import urllib.parse
 
 import pytest
 
-from quadriver.plans.compiler import Engine
+from quadriver.plans.compiler import Engine, Solutions, to_values
 from quadriver.plans.parser import parse
+from quadriver.sources.documents import shell_uri
 from quadriver.sources.values import created, row
+from quadriver.store import Store
 
 BASE = "http://example.org/"
 START, ITEMS, POINTS = 1000, 10, 10
@@ -130,7 +132,7 @@ def test_distinct_aggregates_and_separator(engine):
     assert got(engine, "select ?x { <urn:f> <urn:contains>? ?x }", "x") == [("urn:a",), ("urn:f",)]
 
 
-@pytest.mark.parametrize("text", ["select", "select * { ?a }", "construct { ?a ?b ?c } where { ?a ?b ?c }", "select * { x:y ?p ?o }", "select * { ?a ?b ?c"])
+@pytest.mark.parametrize("text", ["select", "select * { ?a }", "describe ?a { ?a ?b ?c }", "select * { x:y ?p ?o }", "select * { ?a ?b ?c"])
 def test_malformed(text):
     with pytest.raises(ValueError):
         parse(text)
@@ -180,6 +182,100 @@ def test_encoded_names(engine):
     assert got(engine, 'select * { values ?x { "a b*~/" } bind(encode_for_uri(?x) as ?y) }', "y") == [("a%20b%2A~%2F",)]
 
 
+def test_construct_and_insert(spark, tmp_path):
+    rows = [row("urn:i", "urn:x", t, 0, t + 0.5) for t in (1, 2)] + [row("urn:i", "urn:y", 1, 0, {"@id": "urn:z"})]
+    triples = spark.createDataFrame([("urn:a", "urn:p", "urn:b")], "s string, p string, o string")
+    engine, store = Engine(spark, {"ts:": created(spark, rows)}, triples), Store(spark, str(tmp_path / "s"))
+    found = "service <ts:> { <urn:i> <urn:x> [ <ts:time> ?t ; <ts:value> ?v ] }"
+    made = {tuple(r) for r in engine.query(f"construct {{ <urn:i> <urn:at> ?t . [] <urn:of> ?t ; <urn:none> ?unbound }} where {{ {found} }}").collect()}
+    assert {x for x in made if x[0] == "urn:i"} == {("urn:i", "urn:at", "1"), ("urn:i", "urn:at", "2")}
+    nodes = [x for x in made if x[0] != "urn:i"]
+    assert sorted(x[1:] for x in nodes) == [("urn:of", "1"), ("urn:of", "2")] and len({x[0] for x in nodes}) == 2
+    engine.update(f"insert {{ <urn:b> <urn:p> <urn:c> . <urn:i> <urn:at> ?t }} where {{ {found} }}")
+    assert got(engine, "select ?x { <urn:a> <urn:p>+ ?x }", "x") == [("urn:b",), ("urn:c",)]
+    assert got(engine, "select ?t { <urn:i> <urn:at> ?t }", "t") == [("1",), ("2",)]
+    engine.update('insert data { graph <ts:> { <item-1> <urn:value> 5 , "5" , <urn:u> , true . <item-2> <urn:value> [ <ts:value> 2.5 ; <ts:time> 7 ; <ts:seqNr> 3 ] } graph <ts:urn:other> { <item-3> <urn:value> 1 } }', BASE, store, now=9)
+    held = {(r.context, r.item, r.time, r.seqNr, r.v_type, r.v_long, r.v_double, r.v_string, r.v_bool) for r in store.read().collect()}
+    nil = "ts:nil"
+    one = [h for h in held if h[1] == name(1)]  # the same time and sequence number: one of the four stays
+    assert len(one) == 1 and one[0][:4] == (nil, name(1), 9, 0)
+    assert held - set(one) == {(nil, name(2), 7, 3, "double", None, 2.5, None, None), ("urn:other", name(3), 9, 0, "long", 1, None, None, None)}
+    for wrong in ("select * { ?s ?p ?o }", "insert data { graph <urn:g> { <urn:a> <urn:b> 1 } }", "insert { <urn:a> <urn:p>+ ?o } where { ?a <urn:p> ?o }"):
+        with pytest.raises(ValueError):
+            engine.update(wrong, store=store)
+    with pytest.raises(ValueError):
+        engine.query("insert data { <urn:a> <urn:b> 1 }")
+
+
+def test_typed_values(spark):
+    rows = [("urn:a", "urn:p", "5", "any"), ("urn:b", "urn:p", "5", "string"), ("urn:c", "urn:p", "urn:d", "uri"), ("urn:d", "urn:p", "true", "any")]
+    found = to_values(spark.createDataFrame(rows, "s string, p string, o string, o_type string"), "ts:")
+    assert sorted((r.item, r.v_type, r.v_long, r.v_string, r.v_bool) for r in found.collect()) == [
+        ("urn:a", "long", 5, None, None), ("urn:b", "string", None, "5", None), ("urn:c", "uri", None, "urn:d", None), ("urn:d", "bool", None, None, True)]
+
+
+def test_joins_on_variables_that_may_be_unbound(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    left, right = [("1", "a", "x"), ("2", None, "x"), ("3", "b", None), ("4", None, None)], [("a", "x", "p"), (None, "x", "q"), ("b", None, "r"), ("c", "y", "s")]
+    agree = lambda p, q: p is None or q is None or p == q
+    one = lambda p, q: q if p is None else p
+    engine = Engine(spark, {})
+    a = lambda names: Solutions(frame([tuple(r[i] for i in (0, *names)) for r in left], ["id", *["uv"[i - 1] for i in names]]), {"uv"[i - 1] for i in names})
+    for how in ("inner", "left"):
+        for maybe in ({"u", "v"}, set()):
+            kept = [r for r in right if maybe or None not in r]
+            b = Solutions(frame(kept, ["u", "v", "w"]), set(maybe))
+            found = engine.join(a((1, 2)), b, how)
+            want = [(r[0], one(r[1], s[0]), one(r[2], s[1]), s[2]) for r in left for s in kept if agree(r[1], s[0]) and agree(r[2], s[1])]
+            want += [(*r, None) for r in left if how == "left" and r[0] not in {w[0] for w in want}]
+            assert sorted(map(str, map(tuple, found.df.select("id", "u", "v", "w").collect()))) == sorted(map(str, want))
+            assert {n for n in "uvw" if any(r[i] is None for r in want for i in (["id", "u", "v", "w"].index(n),))} <= found.maybe
+    empty = engine.join(a((1,)), Solutions(frame([], ["z"])), "left")
+    assert len(empty.df.collect()) == 4 and "z" in empty.maybe
+
+
+def test_second_optional_meets_on_a_key(spark):
+    engine = Engine(spark, {}, spark.createDataFrame([("a", "p", "1"), ("a", "q", "1"), ("c", "r", "1"), ("d", "p", "2")], "s string, p string, o string"))
+    text = "select * { ?s <p> ?o optional { ?s <q> ?x } optional { ?y <r> ?x } }"
+    assert sorted((r.s, r.x, r.y) for r in engine.query(text).collect()) == [("a", "1", "c"), ("d", "1", "c")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = engine.query(text)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan
+
+
+def test_shells_behind_an_endpoint(spark):
+    seen = []
+    model = {"id": "urn:m/1", "idShort": "Nameplate", "modelType": "Submodel", "submodelElements": [{"idShort": "Maker", "modelType": "Property", "value": "X"}]}
+    shell = lambda n, ids: {"id": f"urn:s{n}", "idShort": f"S{n}", "modelType": "AssetAdministrationShell", "submodels": [{"type": "ModelReference", "keys": [{"type": "Submodel", "value": i}]} for i in ids]}
+    answers = {"/api/shells": {"result": [shell(1, ["urn:m/1"]), shell(2, ["urn:m/1", "urn:gone"])], "paging_metadata": {"cursor": "n2"}}, "/api/shells?cursor=n2": {"result": [shell(3, [])], "paging_metadata": {}}, "/api/submodels/" + shell_uri("urn:m/1").removeprefix("urn:aas:"): model}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append(self.path)
+            self.send_response(200 if self.path in answers else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps(answers.get(self.path, "")).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    engine = Engine(spark, {})
+    service, aas = f"service <aas-api:http://127.0.0.1:{server.server_port}/api>", "prefix aas: <urn:aas-model:>"
+    assert got(engine, f"select * {{ {service} {{ <aas-api:endpoint> <aas-api:shells> ?s }} }}", "s") == [(shell_uri(f"urn:s{n}"),) for n in (1, 2, 3)]
+    assert len(seen) == len(set(seen)) == 4
+    asked = f"{aas} select distinct ?short {{ {service} {{ <aas-api:endpoint> <aas-api:shells> ?shell . ?shell aas:submodels ?sm . ?sm (!<:>)+ ?e . ?e a aas:Property ; aas:idShort ?short }} }}"
+    assert got(engine, asked, "short") == [("Maker",)]
+    assert len(seen) == 4  # read once
+    engine.update(f"{aas} insert {{ ?sm ?p ?o }} where {{ {service} {{ ?shell aas:submodels ?sm . ?sm ?p ?o }} }}")
+    assert (shell_uri("urn:m/1"), "Nameplate") in got(engine, f"{aas} select * {{ ?s aas:idShort ?o }}", "s", "o")
+    server.shutdown()
+
+
 def test_remote_services(engine):
     seen = []
 
