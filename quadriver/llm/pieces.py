@@ -34,6 +34,8 @@ MARK = "▁"
 #: Characters of a generation's words, and twice the pairs of pieces, that a worker remembers.
 KNOWN = 1_000_000
 RADIX = 1 << 22
+#: Prefixes of at most so many characters keep their ids; those of a longer word are gathered from its end.
+SHARED = 64
 
 
 class Pieces:
@@ -41,10 +43,11 @@ class Pieces:
         """ids and scores of the ordinary pieces; ids of the bytes (none: characters without a piece are unknown); even rewrites a text first."""
         self.even = even
         self.ids, self.scores, self.bytes, self.unigram, self.unknown = ids, scores, bytes_, unigram, unknown
-        #: pieces by number, and as a trie of their characters from the last to the first
-        self.numbers, self.names, self.back = {"": 0}, [""], {}
+        #: pieces by number, the ids that each is written as, and the characters without a piece that were met
+        self.numbers, self.names, self.codes, self.odd = {"": 0}, [""], [b""], set()
         for p in sorted(ids):
             self.number(p)
+        self.goto, self.fail, self.ends = self.automaton()
         self.least = min(scores.values(), default=0.0) - 10.0
         #: words of this generation and of the one before it; what is not met again in a generation is forgotten
         self.known: dict[str, bytes] = {}
@@ -86,85 +89,111 @@ class Pieces:
         if (p := self.numbers.get(piece)) is None:
             p = self.numbers[piece] = len(self.names)
             self.names.append(piece)
-            node = self.back
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = p
+            self.codes.append(array("i", self.of(piece)).tobytes())
+            if piece not in self.ids:
+                self.odd.add(piece)
         return p
 
+    def automaton(self) -> tuple[dict[int, int], list[int], list[tuple[tuple[int, int], ...]]]:
+        """All pieces as an automaton over characters.
+
+        The next node by node and character; the node of a node's longest proper suffix; and the pieces that end at a
+        node as (length, number), the longest first.
+        """
+        goto, fail, ends, made = {}, [0], [()], []
+        for p, n in self.numbers.items():
+            node = 0
+            for depth, ch in enumerate(p):
+                key = node << 21 | ord(ch)
+                if (to := goto.get(key)) is None:
+                    to = goto[key] = len(fail)
+                    fail.append(0)
+                    ends.append(())
+                    made.append((depth, node, ord(ch), to))
+                node = to
+            if p:
+                ends[node] = ((len(p), n),)
+        for depth, parent, code, node in sorted(made):
+            if depth:
+                at = fail[parent]
+                while (to := goto.get(at << 21 | code)) is None and at:
+                    at = fail[at]
+                fail[node] = to or 0
+            ends[node] += ends[fail[node]]
+        return goto, fail, ends
+
     def compatible(self, key: int) -> bool:
         """Whether two pieces, the first possibly empty, encode to themselves."""
         a, b = map(self.names.__getitem__, divmod(key, RADIX))
         if len(self.pairs) > KNOWN // 2:
             self.pairs.clear()
-        found = self.pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
-        return found
-
-    def ending(self, word: str, i: int) -> list[int]:
-        """Pieces that end word[:i], the shortest first."""
-        found, node = [], self.back
-        while i and (node := node.get(word[i - 1])) is not None:
-            i -= 1
-            if (p := node.get("")) is not None:
-                found.append(p)
+        # two pieces that join into a piece would have joined
+        found = self.pairs[key] = not (a and a + b in self.scores) and self.merge(a + b) == ([a, b] if a else [b])
         return found
 
-    def best(self, word: str, i: int, states: list[int], scores: list[np.float32]) -> int:
-        """Viterbi: the last piece of the best path to word[:i]; of equal scores, summed in single precision as by the library, the longest."""
-        score, piece = None, 0
-        for p in reversed(self.ending(word, i)):
-            x = scores[i - len(self.names[p])] + np.float32(self.scores.get(self.names[p], self.least))
+    def best(self, i: int, ends: tuple[tuple[int, int], ...], scores: list[np.float32]) -> tuple[int, int]:
+        """Viterbi: length and number of the last piece of the best path to a prefix of i characters, of those that end there; of equal scores, summed in single precision as by the library, the longest."""
+        score, piece = None, (0, 0)
+        for n, p in ends:
+            x = scores[i - n] + np.float32(self.scores.get(self.names[p], self.least))
             if score is None or x > score:
-                score, piece = x, p
+                score, piece = x, (n, p)
         scores.append(score)
         return piece
 
     def learn(self, words: set[str]) -> None:
-        """Encode new words, as a depth-first walk of their trie; a state is the number of the last piece."""
+        """Encode new words, as a depth-first walk of their trie; a state is the number of the last piece, and short prefixes keep their ids."""
         self.held += sum(map(len, words))
         for c in set(chain.from_iterable(words)) - self.numbers.keys():
             self.number(c)
-        back, pairs, names = self.back, self.pairs, self.names
-        before, states, scores = "", [0], [np.float32(0)]
+        pairs, numbers, names, written, odd = self.pairs, self.numbers, self.names, self.codes, self.odd
+        goto, fail, ends = self.goto, self.fail, self.ends
+        before, states, nodes, codes, scores = "", [0], [0], [b""], [np.float32(0)]
         for word in sorted(words):
             same = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 same += 1
-            del states[same + 1 :], scores[same + 1 :]
+            del states[same + 1 :], nodes[same + 1 :], codes[same + 1 :], scores[same + 1 :]
+            node = nodes[-1]
             for i in range(same, len(word)):
+                code = ord(word[i])
+                while (to := goto.get(node << 21 | code)) is None and node:
+                    node = fail[node]
+                node = to or 0
+                nodes.append(node)
+                found = ends[node]
+                if not found or found[-1][0] > 1:  # the character is no piece itself
+                    found = (*found, (1, numbers[word[i]]))
                 if self.unigram:
-                    states.append(self.best(word, i + 1, states, scores))
-                    continue
-                found, node, k = [], back, i
-                while k >= 0 and (node := node.get(word[k])) is not None:
-                    if (p := node.get("")) is not None:
-                        found.append((k, p))
-                    k -= 1
-                for k, p in reversed(found):
-                    key = states[k] * RADIX + p
-                    if (good := pairs.get(key)) is None:
-                        good = self.compatible(key)
-                    if good:
-                        break
-                else:  # only where scores tie
-                    p = self.numbers[self.merge(word[: i + 1])[-1]]
+                    n, p = self.best(i + 1, found, scores)
+                else:
+                    for n, p in found:
+                        key = states[i + 1 - n] * RADIX + p
+                        if (good := pairs.get(key)) is None:
+                            good = self.compatible(key)
+                        if good:
+                            break
+                    else:  # only where scores tie
+                        p = self.merge(word[: i + 1])[-1]
+                        n, p = len(p), numbers[p]
                 states.append(p)
-            before, at, parts = word, len(word), []
-            while at:
-                parts.append(names[states[at]])
-                at -= len(parts[-1])
-            parts.reverse()
-            try:
-                self.known[word] = array("i", [self.ids[p] for p in parts]).tobytes()
-            except KeyError:
-                ids = array("i", chain.from_iterable(map(self.of, parts)))
+                if i < SHARED:
+                    codes.append(codes[i + 1 - n] + written[p])
+            before, at, rest = word, len(word), []
+            while at > SHARED:
+                rest.append(written[states[at]])
+                at -= len(names[states[at]])
+            ids = codes[at] + b"".join(reversed(rest))
+            if odd and not odd.isdisjoint(word):
+                ids = array("i", ids)
                 if not self.bytes:  # a run of unknown characters is one unknown piece
                     ids = array("i", [x for n, x in enumerate(ids) if x != self.unknown or not n or ids[n - 1] != x])
-                self.known[word] = ids.tobytes()
                 if b"".join(map(self.written.__getitem__, ids)) != word.replace(MARK, " ").encode("utf-8", "surrogatepass"):
                     self.lossy.add(word)
+                ids = ids.tobytes()
+            self.known[word] = ids
 
     def merge(self, word: str) -> list[str]:
         """Byte-pair encoding by its definition: join the adjacent pair of the best score, the leftmost of equals."""

@@ -367,6 +367,21 @@ def test_pieces(spark, docs, none, texts):
     assert pieces.encode_documents(none).count() == 0
 
 
+def test_pieces_of_long_words_share_prefixes():
+    """Words on both sides of the length up to which prefixes keep their ids, and one that is a whole long text."""
+    import sentencepiece
+
+    model, lib = pieces.Pieces.load(pieces.MODEL), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(3)
+    for n in (63, 64, 65, 66, 130, 100_000):
+        for letters in ("abcdefghij", "thequickbrown_.é漢字💡", "ein"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            for text in (word, word + "x y " + word[:70] + "z", word[:-1]):
+                ids, same = model.encode([text])
+                assert ids[0].tolist() == lib.encode(text) and same == [True]
+
+
+
 def test_unigram_is_best_by_score():
     scores = {"▁": -3.0, "a": -2.0, "b": -2.5, "▁a": -4.0, "ab": -3.0, "▁ab": -6.5, "ba": -4.1}
     model = pieces.Pieces({p: i for i, p in enumerate(scores)}, scores, {}, unigram=True)
