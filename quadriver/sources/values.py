@@ -6,6 +6,7 @@ import json
 import time as clock
 from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import Row
@@ -13,6 +14,8 @@ from pyspark.sql.types import Row
 from ..schema import COLUMNS, DEFAULT_CONTEXT, TIME_MAX, TUPLE
 
 LONG = 2**63
+#: Parsed rows that leave a task together.
+BATCH = 10_000
 
 
 def typed(x: object) -> tuple:
@@ -50,16 +53,14 @@ def row(item: str, prop: str, time: int | None, seq: int, x: object, context: st
 
 
 def parsed(texts: DataFrame, parse: Callable[[str], Iterable[tuple]]) -> DataFrame:
-    """Rows from a table with one text column; each text is parsed by itself, a bad one fails the job."""
+    """Rows from a table with one text column; each text is parsed by itself, a bad one fails the job.  Rows leave a task in batches, of however many texts."""
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        for frame in frames:
-            for text in frame.iloc[:, 0]:
-                rows = list(parse(text))
-                if rows:
-                    yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(COLUMNS)})
+        rows = chain.from_iterable(parse(text) for frame in frames for text in frame.iloc[:, 0])
+        while part := list(islice(rows, BATCH)):
+            yield pd.DataFrame({c: pd.Series([r[i] for r in part], dtype=object) for i, c in enumerate(COLUMNS)})
 
     return texts.mapInPandas(run, TUPLE)
 
