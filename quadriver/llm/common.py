@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,41 @@ SMALL_ROWS = 20_000
 HOT, LEAST_HOT = 2_000, 1_000
 
 
+#: What this Python worker has loaded, by name; what the task at hand has used of it; that task.
+_models: dict[Hashable, object] = {}
+_used: set[Hashable] = set()
+_task: int | None = None
+
+
+def tidy() -> None:
+    """Python functions call this on each batch, so that a worker lets the models of other stages go.
+
+    Workers outlive stages, and an executor's memory holds the idle ones too.  So a new task drops what the worker's task
+    before it has not used, and gives the memory back.  On the driver, outside tasks, everything stays.
+    """
+    global _task
+    task = (context := TaskContext.get()) and context.taskAttemptId()
+    if task == _task:
+        return
+    _task, idle = task, _models.keys() - _used
+    _used.clear()
+    for name in idle:
+        del _models[name]
+    if idle:
+        pa.default_memory_pool().release_unused()
+        if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+            c.malloc_trim(0)
+
+
+def shared(name: Hashable, load: Callable[[], object]):
+    """A model that a worker loads once for tasks in a row that use it."""
+    tidy()
+    _used.add(name)
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there.
 

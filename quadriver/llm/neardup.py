@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, joined_by
+from .common import col, cut, joined_by, tidy
 
 #: Tokens of a signature; of pairs just at the similarity at most this share may agree in too few of them to be likely.
 TOKENS, MISSED = 32, 4e-6
@@ -92,6 +92,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
     @F.arrow_udf(kind)
     def summed(column: pa.Array) -> pa.Array:
+        tidy()
         n, a, b, sig = [], [], [], []
         for x in column:
             s = shingles(x.as_py(), size)
@@ -195,6 +196,7 @@ def meet(of: Signatures | Sets, joined: Joined, i: int, among: np.ndarray) -> No
 
 def by_group(frames: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
     """The consecutive rows that agree in the group's columns."""
+    tidy()
     held: list[pa.RecordBatch] = []
     last = None
     for frame in frames:
@@ -361,6 +363,7 @@ def might_be(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def test(places: pa.Array) -> pa.Array:
+        tidy()
         p = places.to_numpy(zero_copy_only=False).astype(np.int64)
         return pa.array((sent.value[p >> 3] >> (7 - (p & 7)) & 1).astype(bool))
 
@@ -377,6 +380,7 @@ def confirm(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, siz
 
     @F.arrow_udf("binary")
     def full(column: pa.Array) -> pa.Array:
+        tidy()
         return pa.array([shingles(x.as_py(), size).tobytes() for x in column], pa.binary())
 
     held = members.join(texts, (F.col("first_id") == F.col("id")) & (F.col("first_t") == F.col("t")))

@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -247,9 +246,8 @@ class Pieces:
         return b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> Pieces:
-    return Pieces.load(path)
+    return shared(("pieces", path), lambda: Pieces.load(path))
 
 
 #: Texts that are encoded together.
@@ -261,17 +259,18 @@ def encoded(text: Column, path: str = MODEL) -> Column:
 
     @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
     def encode(column: pa.Array) -> pa.Array:
-        model, ids, same = loaded(path), [np.zeros(0, np.int32)], []
+        model, ids, ends, same = loaded(path), bytearray(), [0], []
         for at in range(0, len(column), GROUP):
             texts = column.slice(at, GROUP).to_pylist()
             found, good = model.encode(texts)
-            ids += found
+            ids += np.concatenate(found).tobytes()
+            ends += (ends[-1] + np.cumsum([len(x) for x in found])).tolist()
             if model.even is not str:  # the model rewrites texts first
                 good = [t is None or model.decode(x.tolist()) == t.replace(MARK, " ") for t, x in zip(texts, found, strict=True)]
             same += [None if t is None else g for t, g in zip(texts, good, strict=True)]
-        ends = np.cumsum([len(x) for x in ids], dtype=np.int32)
         null = pa.array([x is None for x in same], pa.bool_())
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=null)
+        flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(ids)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=null)
         return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
 
     return encode(text)

@@ -15,13 +15,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, shared
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "random")
@@ -39,8 +38,11 @@ PIECE = 4096
 SEPARATOR = re.compile(r"[+/_=-]+")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str):
+    return shared(("encoder", path), lambda: vocabulary_of(path))
+
+
+def vocabulary_of(path: str):
     import tiktoken
 
     with open(path, "rb") as f:
