@@ -28,6 +28,13 @@ _used: set[Hashable] = set()
 _task: int | None = None
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold of freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+        c.malloc_trim(0)
+
+
 def tidy() -> None:
     """Python functions call this on each batch, so that a worker lets the models of other stages go.
 
@@ -43,9 +50,7 @@ def tidy() -> None:
     for name in idle:
         del _models[name]
     if idle:
-        pa.default_memory_pool().release_unused()
-        if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
-            c.malloc_trim(0)
+        give_back()
 
 
 def shared(name: Hashable, load: Callable[[], object]):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, shared
+from .common import col, give_back, shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -259,6 +259,7 @@ def encoded(text: Column, path: str = MODEL) -> Column:
 
     @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
     def encode(column: pa.Array) -> pa.Array:
+        give_back()  # what the batch before has left
         model, ids, ends, same = loaded(path), bytearray(), [0], []
         for at in range(0, len(column), GROUP):
             texts = column.slice(at, GROUP).to_pylist()
